@@ -62,7 +62,7 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-_ESCAPED = r"regexp_replace({}, '<(\\*)(/?turn)', '<\\\\\1\2', 'g')"
+_ESCAPED = r"regexp_replace({}, '<(\\*)(/?turn)', '<\\\1\2', 'g')"
 
 OP3 = rf"""
 WITH t AS (
