@@ -32,8 +32,8 @@ SAME = {
     "filter_case": "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS class, CASE p_size WHEN 1 THEN 'one' WHEN 2 THEN 'two' END AS word FROM part",
     "filter_null": "SELECT c_custkey, nullif(c_nationkey, 3) AS nk FROM customer WHERE nullif(c_nationkey, 3) IS NULL OR (nullif(c_nationkey, 4) IS NOT NULL AND c_custkey < 50)",
     "filter_logic": "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' OR o_totalprice < 5000) AND o_custkey <> 7",
-    "row_value_in": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_orderkey, l_linenumber) IN ((1, 1), (2, 2), (3, 1))",
-    "row_value_compare": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_orderkey, l_linenumber) < (5, 3)",
+    "row_value_in": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_orderkey, l_linenumber) IN ((CAST(1 AS BIGINT), 1), (CAST(2 AS BIGINT), 2), (CAST(3 AS BIGINT), 1))",
+    "row_value_compare": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_orderkey, l_linenumber) < (CAST(5 AS BIGINT), 3)",
     "join_inner": "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
     "join_left": "SELECT n.n_name, s.s_suppkey FROM nation n LEFT JOIN supplier s ON n.n_nationkey = s.s_nationkey AND s.s_acctbal > 9000",
     "join_right": "SELECT s.s_suppkey, n.n_name FROM supplier s RIGHT JOIN nation n ON n.n_nationkey = s.s_nationkey AND s.s_acctbal < 0",
@@ -102,8 +102,8 @@ PAIRS = {
         f"SELECT o_orderstatus, CAST(SUM({_TOTAL}) AS DOUBLE) / COUNT(*) AS a FROM orders GROUP BY o_orderstatus",
     ),
     "cast_matrix": (
-        "SELECT o_orderkey, CAST(o_orderkey AS STRING) AS s, CAST(CAST(o_orderkey AS STRING) AS BIGINT) AS b, CAST(o_totalprice AS DECIMAL(12,1)) > 1000 AS d, CAST(o_orderdate AS DATE) AS day, DATE '2024-02-29' AS leap FROM orders WHERE o_orderkey < 200",
-        "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS s, CAST(CAST(o_orderkey AS VARCHAR) AS BIGINT) AS b, CAST(o_totalprice AS DECIMAL(12,1)) > 1000 AS d, CAST(o_orderdate AS DATE) AS day, DATE '2024-02-29' AS leap FROM orders WHERE o_orderkey < 200",
+        "SELECT o_orderkey, CAST(o_orderkey AS STRING) AS s, CAST(CAST(o_orderkey AS STRING) AS BIGINT) AS b, CAST(o_totalprice AS DECIMAL(12,1)) > 1000 AS d, CAST(CAST(o_orderdate AS DATE) AS STRING) AS day, CAST(DATE '2024-02-29' AS STRING) AS leap FROM orders WHERE o_orderkey < 200",
+        "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS s, CAST(CAST(o_orderkey AS VARCHAR) AS BIGINT) AS b, CAST(o_totalprice AS DECIMAL(12,1)) > 1000 AS d, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, CAST(DATE '2024-02-29' AS VARCHAR) AS leap FROM orders WHERE o_orderkey < 200",
     ),
     "arith_integers": (
         "SELECT o_orderkey, o_orderkey div 7 AS q, o_orderkey % 7 AS r, -o_orderkey AS neg, o_orderkey * 2 + 1 AS odd FROM orders",

@@ -52,12 +52,12 @@ FUNCTIONS = {
     "date_extract_epoch": (*_EVENTS, lambda: T.extract("EPOCH", "ts").cast("bigint"), "CAST(floor(epoch(ts)) AS BIGINT)"),
     "date_extract_second": (*_EVENTS, lambda: T.extract("SECOND", "ts").cast("bigint"), "CAST(second(ts) AS BIGINT)"),
     "date_trunc": (*_EVENTS, lambda: F.concat_ws(" ", *[S.to_char(T.date_trunc(u, "ts"), "YYYY-MM-DD HH24:MI:SS") for u in ("YEAR", "MONTH", "DAY", "HOUR", "MINUTE")]), "concat_ws(' ', " + ", ".join(f"strftime(date_trunc('{u}', ts), '%Y-%m-%d %H:%M:%S')" for u in ("year", "month", "day", "hour", "minute")) + ")"),
-    "date_add_months": (*_ORDERS, lambda: T.date_add(F.expr("CAST(o_orderdate AS DATE)"), months=1, days=3), "CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH + INTERVAL 3 DAY AS DATE)"),
-    "date_sub_days": (*_ORDERS, lambda: T.date_sub(F.expr("CAST(o_orderdate AS DATE)"), days=40), "CAST(o_orderdate AS DATE) - 40"),
+    "date_add_months": (*_ORDERS, lambda: T.date_add(F.expr("CAST(o_orderdate AS DATE)"), months=1, days=3).cast("string"), "CAST(CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH + INTERVAL 3 DAY AS DATE) AS VARCHAR)"),
+    "date_sub_days": (*_ORDERS, lambda: T.date_sub(F.expr("CAST(o_orderdate AS DATE)"), days=40).cast("string"), "CAST(CAST(o_orderdate AS DATE) - 40 AS VARCHAR)"),
     "date_diff": (*_ORDERS, lambda: T.datediff("DAY", F.expr("CAST(o_orderdate AS DATE)"), F.expr("DATE '1995-01-01'")).cast("bigint"), "date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE))"),
     "date_diff_hours": (*_EVENTS, lambda: T.datediff("HOUR", F.expr("CAST(ts AS TIMESTAMP)"), F.expr("TIMESTAMP '2020-01-01 00:00:00'")).cast("bigint"), "date_sub('hour', TIMESTAMP '2020-01-01 00:00:00', ts)"),
     "date_age": (*_ORDERS, lambda: T.datediff("DAY", F.expr("CAST(o_orderdate + (o_orderdate - TIMESTAMP_NTZ '1995-01-01 00:00:00') AS DATE)"), F.expr("CAST(o_orderdate AS DATE)")).cast("bigint"), "date_diff('day', o_orderdate, o_orderdate + (o_orderdate - TIMESTAMP '1995-01-01 00:00:00'))"),
-    "date_to_date": (*_ORDERS, lambda: T.to_date(S.to_char("o_orderdate", "DD.MM.YYYY"), "DD.MM.YYYY"), "CAST(strptime(strftime(o_orderdate, '%d.%m.%Y'), '%d.%m.%Y') AS DATE)"),
+    "date_to_date": (*_ORDERS, lambda: T.to_date(S.to_char("o_orderdate", "DD.MM.YYYY"), "DD.MM.YYYY").cast("string"), "CAST(CAST(strptime(strftime(o_orderdate, '%d.%m.%Y'), '%d.%m.%Y') AS DATE) AS VARCHAR)"),
     "date_unixtime": (*_EVENTS, lambda: S.to_char(T.from_unixtime(T.unix_timestamp("ts")), "YYYY-MM-DD HH24:MI:SS"), "strftime(ts, '%Y-%m-%d %H:%M:%S')"),
     "math_abs_sign": (*_CUSTOMER, lambda: F.abs("c_acctbal") * M.sign("c_acctbal"), "abs(c_acctbal) * sign(c_acctbal)"),
     "math_ceil_floor": (*_CUSTOMER, lambda: M.ceil("c_acctbal") * 1000000 + M.floor("c_acctbal"), "ceil(c_acctbal) * 1000000 + floor(c_acctbal)"),
