@@ -70,7 +70,7 @@ def fold_events(events: DataFrame) -> DataFrame:
     grouped = versions.groupBy("conv_id", "turn", "part").agg(F.array_sort(F.collect_list(event)).alias("e"))
     latest = F.filter("e", lambda x: x["version"] == F.element_at("e", -1)["version"])
     text = F.array_join(F.transform(latest, lambda x: x["text"]), "")
-    role = F.coalesce(F.element_at(F.filter(F.transform("e", lambda x: x["role"]), lambda r: r != ""), 1), F.lit(""))
+    role = F.coalesce(F.get(F.filter(F.transform("e", lambda x: x["role"]), lambda r: r != ""), F.lit(0)), F.lit(""))
     return grouped.select("conv_id", "turn", "part", role.alias("role"), text.alias("text"))
 
 

@@ -283,14 +283,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, max_cov
     schema = docs.schema
     at = docs.columns.index("text")
     counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    kinds = [f.dataType.simpleString() for f in schema]
     out = docs
     for block in item_blocks(items):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, size)
             for batch in batches:
-                for first, end, data, bounds in K.blocks(batch, docs_text):
+                for first, end, data, bounds in K.blocks(batch, "text"):
                     keep, changed = [], {}
                     for d, (n, got, _, starts, ends) in enumerate(matcher.block(data, bounds)):
                         if got and sum(b - a for a, b in got) > max_coverage * n:
@@ -313,8 +312,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, max_cov
                         part = pa.RecordBatch.from_arrays(columns, schema=part.schema)
                     yield part
 
-        docs_text = "text"
-        out = out.mapInArrow(run, ", ".join(f"`{f.name}` {k}" for f, k in zip(schema, kinds, strict=True)))
+        out = out.mapInArrow(run, schema)
     return out
 
 

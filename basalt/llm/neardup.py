@@ -14,11 +14,13 @@
 With 24 bands of 5 rows a pair of similarity 0.85 shares no band with probability 8e-7.
 
 Defined results: documents without words (null, empty, white space) have an empty set, are linked with
-nothing and are their own component; equal rows share all values; other columns are ignored.
+nothing and are their own component; equal rows share all values; rows without an id are kept; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -250,7 +252,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     signed = materialize(signatures(docs), "signatures")
     sets_of = signed.filter("fp is not null").groupBy("fp")
-    distinct = materialize(sets_of.agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "distinct")
+    distinct = materialize(sets_of.agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).filter("node is not null"), "distinct")
     keys = distinct.select("node", "fp", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     members = materialize(keys.join(shared.drop("n"), ["band", "key"]).select("band", "key", "node", "fp"), "members")
@@ -263,7 +265,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     final = _with_classes(distinct.select("fp", "node"), classes).select("fp", F.col("class").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "fp").join(final, "fp", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -275,5 +277,6 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     if again.isEmpty():
         return left
     order = Window.partitionBy("doc_id").orderBy(F.col("text").desc_nulls_last())
-    once = _semi(left, again).withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    n = f"_n_{uuid.uuid4().hex}"
+    once = _semi(left, again).withColumn(n, F.row_number().over(order)).filter(F.col(n) == 1).drop(n)
     return _semi(left, again, "left_anti").unionByName(once.select(left.columns))

@@ -13,12 +13,15 @@ tweak of the key; ``surrogates_distinct`` says of each document that its entitie
 equally many; ``surrogate_collisions`` lists surrogates that several entities of the corpus share.
 
 Defined results: null texts stay null and have no entities; texts without entities are not changed; equal
-rows have equal results; an empty table gives no rows; other columns pass through unread.  Letters of
+rows have equal results; an empty table gives no rows; other columns pass through unread, but for
+columns of the input named like the three results, which these replace.  Letters of
 scripts without a class here (such as Han) are kept.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -210,14 +213,16 @@ def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     has = F.coalesce(text.rlike(ANY), F.lit(False))
     entities = F.when(has, detect(text)).otherwise(F.array().cast("array<string>"))
     made = F.transform(entities, lambda e: _let(kind_of(e), lambda k: F.struct(k.alias("kind"), e.alias("entity"), surrogate(e, k, key).alias("surrogate"))))
-    found = docs.withColumn("_pii", made)
+    held = f"_pii_{uuid.uuid4().hex}"
+    found = docs.withColumn(held, made)
     between = F.split(text, ANY, -1)
-    joined = F.zip_with(between, F.col("_pii"), lambda b, e: F.concat(b, F.coalesce(e["surrogate"], F.lit(""))))
-    new = F.when(F.size("_pii") > 0, F.array_join(joined, "")).otherwise(text)
-    own = F.size(F.array_distinct(F.transform("_pii", lambda e: F.struct(e["kind"], e["entity"]))))
-    theirs = F.size(F.array_distinct(F.transform("_pii", lambda e: F.struct(e["kind"], e["surrogate"]))))
-    kinds = F.transform("_pii", lambda e: e["kind"])
-    columns = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": new}
+    joined = F.zip_with(between, F.col(held), lambda b, e: F.concat(b, F.coalesce(e["surrogate"], F.lit(""))))
+    new = F.when(F.size(held) > 0, F.array_join(joined, "")).otherwise(text)
+    own = F.size(F.array_distinct(F.transform(held, lambda e: F.struct(e["kind"], e["entity"]))))
+    theirs = F.size(F.array_distinct(F.transform(held, lambda e: F.struct(e["kind"], e["surrogate"]))))
+    kinds = F.transform(held, lambda e: e["kind"])
+    own_names = ("pii_kinds", "pii_distinct", "surrogates_distinct")
+    columns = {c: F.col(f"`{c}`") for c in docs.columns if c not in own_names} | {"text": new}
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.size("_pii") > 0, F.char_length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.size(held) > 0, F.char_length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return found.select(*[v.alias(k) for k, v in columns.items()], kinds.alias("pii_kinds"), own.alias("pii_distinct"), (own == theirs).alias("surrogates_distinct"))
