@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -139,7 +141,9 @@ def date_pattern(fmt: str) -> str:
                 out, rest = out + letters, rest[len(name) :]
                 break
         else:
-            out, rest = out + ("''" if rest[0] == "'" else f"'{rest[0]}'" if rest[0].isalpha() else rest[0]), rest[1:]
+            at = min((k for k in (rest.find(name, 1) for name, _ in _FORMATS) if k > 0), default=len(rest))
+            plain, rest = rest[:at], rest[at:]
+            out += re.sub("[A-Za-z']+", lambda m: "'" + m[0].replace("'", "''") + "'", plain)
     return out
 
 

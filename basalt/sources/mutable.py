@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
+from basalt.operators.recursive import round_table
+
 from .lake import LakeTable
 
 
@@ -69,9 +71,12 @@ class Changes:
 
 
 def number_rows(df: DataFrame, name: str, first: int, step: int, *order) -> DataFrame:
-    """Gap-free numbers in an order, without one task for all rows: partitions are counted, then numbered."""
+    """Gap-free numbers in an order, without one task for all rows: partitions are counted, then numbered.
+
+    The rows are written with their partitions first: a plan that runs twice may deal them out anew.
+    """
     ordered = df.orderBy(*order) if order else df
-    tagged = ordered.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    tagged = round_table(ordered.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
     counts = sorted((r["_p"], r["n"]) for r in tagged.groupBy("_p").agg(F.count("*").alias("n")).collect())  # a row a partition
     base, starts = 0, []
     for p, n in counts:
