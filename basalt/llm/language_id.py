@@ -98,6 +98,11 @@ class LanguageModel:
             out[:, k] = total / n / _FIXED + self.bias[k]
         return out
 
+    def counted_logits(self, examples: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The same from (buckets, counts) of each text."""
+        sums = [(self.table[b] * n[:, None]).sum(axis=0) / n.sum() for b, n in examples]
+        return np.array(sums).reshape(-1, len(self.languages)) / _FIXED + self.bias
+
     def predict(self, data: np.ndarray, bounds: np.ndarray) -> tuple[list[str], np.ndarray]:
         chance = _softmax(self.logits(features(data, bounds)) / self.temperature)
         best = chance.argmax(axis=1)
@@ -154,7 +159,7 @@ def _examples(docs: DataFrame, sample_rows: int) -> list[tuple[str, int, np.ndar
                     )
 
     rows = picked.mapInArrow(run, "lang string, fold long, seed long, buckets binary, counts binary").collect()
-    read = lambda x: np.frombuffer(bytes(x), dtype="<i4").astype(np.int64)
+    read = lambda x: np.frombuffer(bytes(x), dtype="<i4")
     return [(r[0], r[1], read(r[3]), read(r[4])) for r in sorted(rows, key=lambda r: (r["seed"], bytes(r["buckets"])))]
 
 
@@ -195,9 +200,7 @@ def calibrate(model: LanguageModel, examples: list[tuple[str, int, np.ndarray, n
     """Fit the temperature by likelihood, then the threshold to the calibration scores."""
     if not examples:
         return model
-    buckets = np.concatenate([np.repeat(e[2], e[3]) for e in examples])
-    at = np.cumsum([0, *(int(e[3].sum()) for e in examples)])
-    logits, known = model.logits([(buckets, at)]), [model.languages.index(e[0]) for e in examples]
+    logits, known = model.counted_logits([e[2:] for e in examples]), [model.languages.index(e[0]) for e in examples]
     best, temperature = np.inf, 1.0
     for t in np.geomspace(0.05, 20, 60):
         loss = -np.log(np.maximum(_softmax(logits / t)[np.arange(len(known)), known], 1e-12)).mean()
@@ -229,8 +232,6 @@ def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id") -> Data
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """The rows whose language isn't rejected, unchanged."""
     ship_package(docs.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, bounds in K.blocks(batch, "text"):
@@ -238,4 +239,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 keep = [x != UNDETERMINED and s >= model.threshold for x, s in zip(lang, score.tolist(), strict=True)]
                 yield batch.slice(first, end - first).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)

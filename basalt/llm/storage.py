@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -35,8 +36,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bounds of an Arrow batch that goes to Python: a task holds several at once, whatever the texts' lengths.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Give executors this package once per application, wherever they run."""
+    """Give executors this package once per application, wherever they run, and bound their Arrow batches."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(re.sub(r"\D", "", spark.conf.get(key)) or 0) <= most:
+            spark.conf.set(key, str(most))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

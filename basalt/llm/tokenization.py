@@ -17,7 +17,7 @@ import pandas as pd
 from . import kernels as K
 
 #: Distinct pieces that a worker keeps; the store starts anew beyond it.
-MAX_PIECES = 1_200_000
+MAX_PIECES = 400_000
 
 _U64 = np.uint64
 _LETTER, _DIGIT, _OTHER = 1, 2, 3
