@@ -35,6 +35,8 @@ SNIPPETS = 3
 EPOCHS = 12
 #: At most this share of calibration texts is rejected.
 MOST_REJECTED = 0.0005
+#: Scores from here on are never rejected, however sure the model is of its calibration texts.
+SURE_ENOUGH = 0.4
 UNDETERMINED = "und"
 
 _SPACE = np.uint8(0x20)
@@ -208,7 +210,7 @@ def calibrate(model: LanguageModel, examples: list[tuple[str, int, np.ndarray, n
             best, temperature = loss, float(t)
     score = np.sort(_softmax(logits / temperature).max(axis=1))
     threshold = float(score[int(MOST_REJECTED * len(score))]) * 0.999
-    return LanguageModel(model.languages, model.table, model.bias, temperature, min(threshold, 0.5))
+    return LanguageModel(model.languages, model.table, model.bias, temperature, min(threshold, SURE_ENOUGH))
 
 
 def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id") -> DataFrame:

@@ -11,7 +11,7 @@
    still outside the bucket's largest class then queries all chunks, so no link is lost.
 5. Links become components by alternating large-star and small-star steps on written tables.
 
-With 24 bands of 5 rows a pair of similarity 0.85 shares no band with probability 8e-7.
+With 24 bands of 5 rows a pair shares no band with probability 8e-7 at similarity 0.85, 7e-5 at 0.80.
 
 Defined results: documents without words (null, empty, white space) have an empty set, are linked with
 nothing and are their own component; equal rows share all values; rows without an id are kept; other
@@ -36,8 +36,6 @@ BANDS, ROWS = 24, 5
 HASHES = BANDS * ROWS
 FIRST_BANDS = 6
 SKETCH_BITS = 1024
-#: Two sets of similarity 0.85 differ in 18 of 120 samples on average; over 42 has a chance below 1e-7.
-MOST_DIFFERING = 42
 BUCKET = 2048
 #: Ids that may be broadcast (16 MB); beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
@@ -95,6 +93,12 @@ def odd_sketches(least: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).reshape(len(least), -1)
 
 
+def most_differing(percent: int) -> int:
+    """Samples in which two sets of that similarity may differ: six standard deviations over the mean."""
+    share = 1 - percent / 100
+    return int(np.ceil(HASHES * share + 6 * np.sqrt(HASHES * share * (1 - share))))
+
+
 def sketch_similarity(a: bytes, b: bytes) -> float:
     """Similarity estimated from two odd sketches: n bits, k samples, d differing bits."""
     d = int(np.bitwise_count(np.frombuffer(a, np.uint8) ^ np.frombuffer(b, np.uint8)).sum())
@@ -158,6 +162,7 @@ def link_bucket(table: pa.Table, percent: int) -> pa.Table:
     sets = [np.frombuffer(x, dtype=np.uint64) for x in table["hashes"].to_pylist()]
     size = np.array([len(x) for x in sets])
     links: list[tuple[int, int]] = []
+    most = 2 * most_differing(percent)
     for i in range(1, len(node)):
         other = group[:i] != group[i]
         if not asks[i]:
@@ -166,7 +171,7 @@ def link_bucket(table: pa.Table, percent: int) -> pa.Table:
         if not len(near):
             continue
         differ = np.bitwise_count(sketch[near] ^ sketch[i]).sum(axis=1)
-        near, differ = near[differ <= 2 * MOST_DIFFERING], differ[differ <= 2 * MOST_DIFFERING]
+        near, differ = near[differ <= most], differ[differ <= most]
         for j in near[np.argsort(differ, kind="stable")].tolist():
             if group[i] == group[j]:
                 continue

@@ -18,8 +18,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate class."""
-    return neardup.drop_near_duplicates(docs)
+    """Keep one document of each class of five-word shingle sets that are alike to 0.8 or more."""
+    return neardup.drop_near_duplicates(docs, percent=80)
 
 
 def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
