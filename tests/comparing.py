@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+from decimal import Decimal
 
 import duckdb
 
@@ -17,8 +18,8 @@ def connection(sf_dir):
 def plain(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return "NULL"
-    if isinstance(v, float):
-        return f"{v:.9g}"
+    if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool):
+        return f"{float(v):.9g}"
     return str(v)
 
 

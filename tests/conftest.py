@@ -16,7 +16,7 @@ def spark(tmp_path_factory):
     from basalt.session import get_session
 
     session = get_session(
-        "local[3]",
+        "local[4]",
         **{
             "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")), "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
