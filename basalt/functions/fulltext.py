@@ -13,9 +13,13 @@ STOP_WORDS = ("の", "に", "は", "を", "た", "が", "で", "て", "と", "
 _SCRIPTS = r"[一-鿿㐀-䶿]+|[぀-ゟ]+|[゠-ヿ]+|[\p{L}\p{N}&&[^一-鿿㐀-䶿぀-ヿ]]+"
 
 
+def _plain(text) -> Column:
+    return F.lower(F.regexp_replace(_col(text), r"[\s\p{Punct}]", ""))
+
+
 def bigrams(text) -> Column:
     """Overlapping pairs of the lower-cased characters without white space and ASCII punctuation; a short text is one token."""
-    plain = F.lower(F.regexp_replace(_col(text), r"[\s\p{Punct}]", ""))
+    plain = _plain(text)
     n = F.char_length(plain)
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(plain, i, F.lit(2)))
     return F.when(n > 0, F.array_distinct(pairs)).when(n == 0, F.array().cast("array<string>"))
@@ -24,7 +28,9 @@ def bigrams(text) -> Column:
 def ft_search(text, query) -> Column:
     """True if the query has tokens and the text has them all."""
     q = bigrams(query if isinstance(query, Column) else F.lit(query))
-    return (F.size(q) > 0) & (F.size(F.array_except(q, bigrams(text))) == 0)
+    plain = _plain(text)
+    # a text has a pair of characters as a token if it contains it: no list of its tokens is built
+    return (F.size(q) > 0) & F.forall(q, lambda t: F.when(F.char_length(t) == 1, plain == t).otherwise(F.contains(plain, t)))
 
 
 def script_words(text) -> Column:
