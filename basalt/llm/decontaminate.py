@@ -14,12 +14,14 @@ through ``decontaminate`` unread.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from . import kernels as K
 from .storage import ship_package
@@ -209,6 +211,17 @@ def item_blocks(items: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
         yield block
 
 
+def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Intervals in order; overlapping or touching ones become one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and out[-1][1] >= a:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_words, spans (byte intervals that hits cover), n_hit, items (sorted item ids)."""
     ship_package(docs.sparkSession)
@@ -277,21 +290,47 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, max_cov
     """Documents without benchmark passages, with the input's columns.
 
     A document with more than ``max_coverage`` of its words hit is dropped; from others the hit spans
-    are cut out.  Clean documents are not changed.  ``n_chars``, if there, follows the text.
+    are cut out.  Every block of items reads the text as it was; what they hit is laid together before
+    the last one decides and cuts, so results do not depend on ``BLOCK_WORDS``.  Clean documents are not
+    changed.  ``n_chars``, if there, follows the text.
     """
     ship_package(docs.sparkSession)
     schema = docs.schema
     at = docs.columns.index("text")
     counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    out = docs
-    for block in item_blocks(items):
+    pair = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    held = f"_hits_{uuid.uuid4().hex}"
+    with_hits = StructType([*schema.fields, StructField(held, ArrayType(StructType([StructField("a", LongType()), StructField("b", LongType())])))])
+
+    def hits_so_far(batch: pa.RecordBatch) -> list[list[tuple[int, int]]]:
+        """Per document: word intervals that earlier blocks hit."""
+        if held not in batch.schema.names:
+            return [[]] * batch.num_rows
+        return [[(x["a"], x["b"]) for x in own] for own in batch.column(held).to_pylist()]
+
+    def noting(block: list[tuple[str, bytes]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(block, size)
+            for batch in batches:
+                for first, end, data, bounds in K.blocks(batch, "text"):
+                    part = batch.slice(first, end - first)
+                    before = hits_so_far(part)
+                    hits = [merged_spans([*before[d], *got]) for d, (_, got, *_) in enumerate(matcher.block(data, bounds))]
+                    noted = pa.array([[{"a": a, "b": b} for a, b in own] for own in hits], pair)
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(schema)], noted], [*part.schema.names[: len(schema)], held])
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+        return run
+
+    def cutting(block: list[tuple[str, bytes]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, size)
             for batch in batches:
                 for first, end, data, bounds in K.blocks(batch, "text"):
+                    part = batch.slice(first, end - first)
+                    before = hits_so_far(part)
                     keep, changed = [], {}
-                    for d, (n, got, _, starts, ends) in enumerate(matcher.block(data, bounds)):
+                    for d, (n, own, _, starts, ends) in enumerate(matcher.block(data, bounds)):
+                        got = merged_spans([*before[d], *own]) if before[d] else own
                         if got and sum(b - a for a, b in got) > max_coverage * n:
                             continue
                         keep.append(d)
@@ -302,7 +341,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, max_cov
                                 since = int(ends[b - 1])
                             parts.append(data[since : bounds[d + 1]].tobytes())
                             changed[len(keep) - 1] = b"".join(parts).decode()
-                    part = batch.slice(first, end - first).take(pa.array(keep, pa.int64()))
+                    part = part.select(part.schema.names[: len(schema)]).take(pa.array(keep, pa.int64()))
                     if changed:
                         columns = list(part.columns)
                         columns[at] = pa.array([changed.get(i, x) for i, x in enumerate(columns[at].to_pylist())], columns[at].type)
@@ -312,8 +351,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, max_cov
                         part = pa.RecordBatch.from_arrays(columns, schema=part.schema)
                     yield part
 
-        out = out.mapInArrow(run, schema)
-    return out
+        return run
+
+    out, last = docs, None
+    for block in item_blocks(items):
+        if last is not None:
+            out = out.mapInArrow(noting(last), with_hits)
+        last = block
+    return docs if last is None else out.mapInArrow(cutting(last), schema)
 
 
 def items_digest(names: list[str]) -> str:

@@ -357,6 +357,25 @@ def test_cleaned_documents(spark, odd_docs, no_docs):
     assert decontaminate.contamination_report(odd_docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_blocks_of_items_are_judged_together(spark, monkeypatch):
+    w = [f"w{k}" for k in range(60)]
+    p, q, over = " ".join(w[:10]), " ".join(w[10:20]), " ".join(w[5:15])
+    bench = spark.createDataFrame([(1, p), (2, q), (3, over), (4, " ".join(w[30:40]))], "item_id long, text string").repartition(1)
+    clean = lambda n: " ".join(f"c{k}" for k in range(n))
+    rows = [
+        (1, f"{p} {clean(13)} {q}", 0), (2, f"{clean(40)} {' '.join(w[:15])} tail", 0), (3, f"{clean(40)} {' '.join(w[30:35])} {p} {' '.join(w[35:40])}", 0),
+        (4, clean(5), 7), (None, f"{clean(30)} {q}", 0), (None, None, None), (4, clean(5), 7),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    read = lambda: sorted(map(str, decontaminate.decontaminate(docs, bench).collect()))
+    want = read()
+    texts = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert 1 not in texts and texts[2] == f"{clean(40)}  tail" and texts[3] == f"{clean(40)} {' '.join(w[30:35])}  {' '.join(w[35:40])}"
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 5)
+    assert len(list(decontaminate.item_blocks(bench))) == 4
+    assert read() == want and len(want) == len(rows) - 1
+
+
 # 8 urls ------------------------------------------------------------------------------------------
 
 
