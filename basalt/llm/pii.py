@@ -39,10 +39,10 @@ _ASSIGNED = r"(?:[A-Za-z0-9]+[_-])*(?i:password|passwd|pwd|passphrase|secret|tok
 
 #: Kinds and their patterns; where several fit at one place, the first is taken.
 PATTERNS = {
-    "private_key": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,20000}-----END [A-Z ]{0,40}PRIVATE KEY-----",
+    "private_key": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,40}PRIVATE KEY-----",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
-    "token": _EDGE + r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|xox[abprs]-[A-Za-z0-9-]{10,255}|sk[-_][A-Za-z0-9_-]{16,255}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,1000})" + _END,
-    "secret": _EDGE + _ASSIGNED + r"\s{0,3}[:=]\s{0,3}[\"']?[^\s\"'<>]{6,400}",
+    "token": _EDGE + r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}|sk[-_][A-Za-z0-9_-]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,})" + _END,
+    "secret": _EDGE + _ASSIGNED + r"\s{0,3}[:=]\s{0,3}[\"']?[^\s\"'<>]{6,}+",
     "iban": _EDGE + r"[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?" + _END,
     "ip": r"(?<![\p{L}\p{N}_.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?![\p{L}\p{N}_]|\.\d)",
     "ssn": r"(?<![\p{L}\p{N}_-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}_-])",
@@ -113,9 +113,24 @@ def _pass(text: Column, seed: Column, forward: bool) -> Column:
     return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), n), one), "")).otherwise(text)
 
 
+#: Longer texts are moved by a digest of the whole, which takes time in line with their length.
+LONG = 400
+
+
+def _moved_by_digest(text: Column, seed: Column) -> Column:
+    """A long text with every character moved in its class by a digest of the whole and its place."""
+
+    def one(digest: Column) -> Column:
+        by = lambda i: F.pmod(F.xxhash64(F.concat_ws("\x1f", digest, i.cast("string"))), F.lit(1_000_000_007))
+        return F.array_join(F.transform(F.split(text, ""), lambda c, i: _shifted(c, by(i))), "")
+
+    return _let(F.sha2(F.concat_ws("\x1f", seed, F.lower(text)), 256), one)
+
+
 def permuted(text: Column, seed: Column) -> Column:
     """The keyed permutation of a text within its format."""
-    return _let(_pass(text, seed, True), lambda x: _pass(x, seed, False))
+    short = _let(_pass(text, seed, True), lambda x: _pass(x, seed, False))
+    return F.when(F.char_length(text) > LONG, _moved_by_digest(text, seed)).otherwise(short)
 
 
 def _octets(address: Column, seed: Column) -> Column:
