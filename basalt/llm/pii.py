@@ -3,13 +3,14 @@
 Entities are found by one pattern.  A surrogate is a keyed permutation of the entity within its format:
 each letter or digit moves within its own class (digits; vowels and consonants of a script and case) by
 a shift hashed from the key and what stands before it, then again from what stands after it.  Both passes
-can be undone, so different entities of a kind have different surrogates and equal entities (whatever
-their case) equal ones, in every document and on every machine, without a shared table.  Script, length,
+can be undone, and entities that they would leave as they are change places with their neighbours, so
+different entities of a kind have different surrogates, none its own, and equal entities (whatever
+their case) equal ones, in every document and on every machine, without a shared table.  Only private
+keys and parts over ``LONG`` characters rest on a digest instead.  Script, length,
 separators, case, and in names the honorific and the ending that tells gender stay; card numbers keep a
 valid check digit, addresses stay addresses, domains keep their top level.
 
-Collisions are checked, not only excluded: an entity that the permutation leaves as it is takes the next
-tweak of the key; ``surrogates_distinct`` says of each document that its entities and surrogates are
+Collisions are checked, not only excluded: ``surrogates_distinct`` says of each document that its entities and surrogates are
 equally many; ``surrogate_collisions`` lists surrogates that several entities of the corpus share.
 
 Defined results: null texts stay null and have no entities; texts without entities are not changed; equal
@@ -133,6 +134,47 @@ def permuted(text: Column, seed: Column) -> Column:
     return F.when(F.char_length(text) > LONG, _moved_by_digest(text, seed)).otherwise(short)
 
 
+#: Any letter or digit that has a class.
+_MOVABLE = "[" + "".join(_ALPHABETS) + "]"
+
+
+def _turned(parts: Column, by: int) -> Column:
+    """The first character of the parts that has a class, so many places on in it; no parts stay alike if one has."""
+    at = F.array_position(F.transform(parts, lambda p: p.rlike(_MOVABLE)), True)
+
+    def turn(part: Column) -> Column:
+        n = F.char_length(F.regexp_extract(part, f"^[^{_MOVABLE[1:]}*", 0))
+        char = _shifted(_substring(part, n + 1, F.lit(1)), F.lit(by))
+        return F.concat(_substring(part, F.lit(1), n), char, _substring(part, n + 2, F.char_length(part)))
+
+    return F.transform(parts, lambda p, i: F.when(i + 1 == at, turn(p)).otherwise(p))
+
+
+def _may_stay(part: Column, seed: Column) -> Column:
+    """False if the permutation surely moves the last character, which takes two hashes to see."""
+    n = F.char_length(part)
+    by = lambda way, beside: F.pmod(F.xxhash64(F.concat_ws("\x1f", seed, F.lit(way), F.lower(beside))), F.lit(1_000_000_007))
+    last = _substring(part, n, F.lit(1))
+    return F.when(n > LONG, False).when(n > 0, _shifted(last, by("f", _substring(part, F.lit(1), n - 1)) + by("b", F.lit(""))) == last).otherwise(True)
+
+
+def _without_fixed_points(x: Column, image, turned, may_stay, orbit: int) -> Column:
+    """The permutation ``image`` with values that it leaves as they are exchanged with their neighbours.
+
+    ``turned(x, 1)`` is the next value, in cycles of at most ``orbit``.  Of a run of fixed values each takes the
+    image of the next one, and the value behind the run takes the first of the run: again a permutation.
+    """
+
+    def first_of_run(z: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(orbit)), z, lambda at, _: _let(turned(at, -1), lambda y: F.when(image(y) == y, y).otherwise(at)))
+
+    def moved(made: Column) -> Column:
+        other = _let(turned(x, -1), lambda z: F.when(may_stay(z) & (image(z) == z), first_of_run(z)).otherwise(made))
+        return F.when(made == x, image(turned(x, 1))).otherwise(other)
+
+    return _let(image(x), moved)
+
+
 def _octets(address: Column, seed: Column) -> Column:
     """An IPv4 address moved within the addresses: first numbers of 1 to 223 among themselves."""
 
@@ -150,8 +192,12 @@ def _octets(address: Column, seed: Column) -> Column:
     def backward(p: Column) -> Column:
         return F.array(*[one(p, i, F.array_join(F.slice(p, i + 2, 3 - i), ".") if i < 3 else F.lit(""), "b") for i in range(4)])
 
+    def turned(p: Column, by: int) -> Column:
+        return F.concat(F.slice(p, 1, 3), F.array(F.pmod(p[3] + by, F.lit(256))))
+
     parts = F.split(address, r"\.").cast("array<long>")
-    return F.array_join(_let(_let(parts, forward), backward), ".")
+    image = lambda p: _let(_let(p, forward), backward)
+    return F.array_join(_let(parts, lambda p: _without_fixed_points(p, image, turned, lambda z: F.lit(True), 256)), ".")
 
 
 def _luhn(digits: Column) -> Column:
@@ -166,11 +212,11 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(1), n), one), F.lit(0), lambda a, x: a + x) % 10
 
 
-def _checked(number: Column) -> Column:
-    """A number with its last digit set to the check digit."""
+def _checked(number: Column, remainder: Column) -> Column:
+    """A number with its last digit set so that its check sum has that remainder (0: it is valid)."""
     body = _substring(number, F.lit(1), F.char_length(number) - 1)
     with_zero = _luhn(F.concat(F.regexp_replace(body, r"\D", ""), F.lit("0")))
-    return F.concat(body, F.pmod(10 - with_zero, F.lit(10)).cast("string"))
+    return F.concat(body, F.pmod(10 + remainder - with_zero, F.lit(10)).cast("string"))
 
 
 def _private_key(entity: Column, seed: Column) -> Column:
@@ -183,23 +229,26 @@ def _private_key(entity: Column, seed: Column) -> Column:
     return F.concat(head, F.lit("\n"), body, F.lit("\n"), tail)
 
 
-def surrogate(entity: Column, kind: Column, key: str = DEFAULT_KEY, tweaks: int = 3) -> Column:
-    """The surrogate of an entity; one that would stay as it is takes the key's next tweak."""
-    valid_card = F.coalesce((kind == "card") & (_luhn(F.regexp_replace(entity, r"\D", "")) == 0), F.lit(False))
-    kept = F.when(valid_card, r"^\d|\d$").when(kind == "card", r"^\d").otherwise(_NOTHING)
+def surrogate(entity: Column, kind: Column, key: str = DEFAULT_KEY) -> Column:
+    """The surrogate of an entity: a permutation within kind and format that leaves nothing as it is.
+
+    Card numbers keep the remainder of their check sum, so valid and invalid ones stay apart.
+    """
+    remainder = F.when(kind == "card", _luhn(F.regexp_replace(entity, r"\D", "")))
+    kept = F.when(kind == "card", r"^\d|\d$").otherwise(_NOTHING)
     for k, pattern in _KEPT.items():
         kept = F.when(kind == k, pattern).otherwise(kept)
-
-    def attempt(t: Column) -> Column:
-        seed = F.concat(F.lit(f"{key}/"), t.cast("string"), F.lit("/"), kind)
-        parts = F.transform(F.split(entity, kept, -1), lambda p: permuted(p, seed))
-        joined = F.array_join(
-            F.zip_with(parts, F.regexp_extract_all(entity, kept, F.lit(0)), lambda p, k: F.concat(p, F.coalesce(k, F.lit("")))), ""
-        )
-        made = F.when(valid_card, _let(joined, _checked)).otherwise(joined)
-        return F.when(kind == "ip", _octets(entity, seed)).when(kind == "private_key", _private_key(entity, seed)).otherwise(made)
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(tweaks - 1)), entity, lambda made, t: F.when(made != entity, made).otherwise(attempt(t)))
+    seed = F.concat(F.lit(f"{key}/0/"), kind)
+    image = lambda parts: F.transform(parts, lambda p: permuted(p, seed))
+    parts = _let(
+        F.split(entity, kept, -1),
+        lambda x: _without_fixed_points(x, image, _turned, lambda z: F.forall(z, lambda p: _may_stay(p, seed)), max(map(len, _ALPHABETS))),
+    )
+    joined = F.array_join(
+        F.zip_with(parts, F.regexp_extract_all(entity, kept, F.lit(0)), lambda p, k: F.concat(p, F.coalesce(k, F.lit("")))), ""
+    )
+    made = F.when(kind == "card", _let(joined, lambda x: _checked(x, remainder))).otherwise(joined)
+    return F.when(kind == "ip", _octets(entity, seed)).when(kind == "private_key", _private_key(entity, seed)).otherwise(made)
 
 
 def detect(text: Column) -> Column:

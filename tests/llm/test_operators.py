@@ -227,6 +227,32 @@ def test_surrogates_are_distinct_and_alike(spark):
     assert found.count() == found.select("e").distinct().count() == found.select("s").distinct().count()
 
 
+def test_surrogates_of_a_whole_format(spark):
+    """Every name of a small format, every address of a range, and cards with one body: one-to-one and none its own."""
+    names = [f"Mr. {c.upper()}{v}{c2}" for c in "bcdfghjklmnpqrstvwxyz" for v in "aeiou" for c2 in ("e", "n")]
+    mails = [f"{a}@{b}.org" for a in "aeiou" for b in "aeiou"]
+    cards = [f"400000000000{k:04d}" for k in range(300)]
+    entities = names + mails + cards
+    for key in "abcdef":
+        kind = F.when(F.col("e").contains("@"), "email").when(F.col("e").startswith("Mr"), "name").otherwise("card")
+        df = spark.createDataFrame([(e,) for e in entities], "e string").select("e", pii.surrogate(F.col("e"), kind, key).alias("s"))
+        rows = df.collect()
+        assert not [r["e"] for r in rows if r["e"] == r["s"]]
+        assert len({r["s"] for r in rows}) == len(entities)
+        assert {r["s"] for r in rows if r["e"] in set(names)} == set(names) and {r["s"] for r in rows if "@" in r["e"]} == set(mails)
+
+
+def test_fixed_points_change_places(spark):
+    ring = lambda x, by: F.pmod(x + by, F.lit(12))
+    for fixed in ([3], [3, 4, 5], [0, 11], list(range(12)), [0, 2, 4], []):
+        loose = [k for k in range(12) if k not in fixed]
+        to = {k: k for k in fixed} | dict(zip(loose, loose[1:] + loose[:1], strict=True))
+        image = lambda x, to=to: F.element_at(F.array(*[F.lit(to[k]) for k in range(12)]), (x + 1).cast("int"))
+        new = pii._without_fixed_points(F.col("id").cast("int"), image, ring, lambda z: F.lit(True), 12)
+        got = {r["id"]: r["n"] for r in spark.range(12).select("id", new.alias("n")).collect()}
+        assert sorted(got.values()) == list(range(12)) and not [k for k, v in got.items() if k == v]
+
+
 def test_replacing_leaves_the_rest(spark, odd_docs, no_docs):
     text = "a@b.example.org wrote: 198.51.100.7, then a@b.example.org."
     df = spark.createDataFrame([(1, text, 3), (2, "nothing here 12 34", 18), (3, None, None)], "doc_id long, text string, n_chars long")
