@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import os.path
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,11 +87,15 @@ def curve_positions(docs: DataFrame, dimensions: tuple[str, ...]) -> tuple[Colum
     return cell.cast("int"), docs.sparkSession.createDataFrame(table, "_cell int, curve int")
 
 
-def hilbert_shards(docs: DataFrame, shards: int = 8, dimensions: tuple[str, ...] = ("lang", "source", "n_chars")) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law isn't by key), curve."""
+def _places(docs: DataFrame, shards: int, dimensions: tuple[str, ...], carried: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot and curve of every row, and the columns that are carried along."""
     spark = docs.sparkSession
     cell, curve = curve_positions(docs, dimensions)
-    placed = docs.select("doc_id", "text", *dimensions).withColumn("_cell", cell).join(F.broadcast(curve), "_cell")
+    text = F.coalesce("text", F.lit(""))
+    slim = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), cell.alias("_cell"), *carried,
+    ).join(F.broadcast(curve), "_cell")
     counts = docs.select(cell.alias("_cell")).groupBy("_cell").agg(F.count("*").alias("n"))
     counted = sorted((r["curve"], r["n"]) for r in counts.join(F.broadcast(curve), "_cell").collect())  # a row a cell
     total, rows = 0, []
@@ -98,29 +103,34 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, dimensions: tuple[str, ...]
         rows.append((at, total, math.ceil(n / RANKED_TOGETHER)))
         total += n
     begins = spark.createDataFrame(rows, "curve int, _begin long, _salts long")
-    text = F.coalesce("text", F.lit(""))
-    slim = placed.select(
-        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), "curve",
-    ).join(F.broadcast(begins), "curve").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "text_crc32"), "_salts"))
-    sizes = slim.groupBy("curve", "_salt").agg(F.count("*").alias("_n"))
+    salted = slim.join(F.broadcast(begins), "curve").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "text_crc32"), "_salts"))
+    sizes = salted.groupBy("curve", "_salt").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("curve").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     bases = sizes.select("curve", "_salt", F.coalesce(before, F.lit(0)).alias("_base"))
     within = Window.partitionBy("curve", "_salt").orderBy("size", "text_crc32", "doc_id")
-    ranked = slim.withColumn("_rank", F.row_number().over(within) - 1).join(bases, ["curve", "_salt"])
+    ranked = salted.withColumn("_rank", F.row_number().over(within) - 1).join(bases, ["curve", "_salt"])
     rank = (F.col("_begin") + F.col("_base") + F.col("_rank")).cast("long")
     out = ranked.withColumn("_rank_all", rank).withColumn("shard", F.expr(f"CAST((_rank_all * {shards}) DIV {max(total, 1)} AS INT)"))
     first = F.expr(f"(shard * {total}L + {shards - 1}) DIV {shards}")
-    return out.select(
-        "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", (F.col("_rank_all") - first).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"), "curve",
+    return out.withColumn("slot", (F.col("_rank_all") - first).cast("long"))
+
+
+def hilbert_shards(docs: DataFrame, shards: int = 8, dimensions: tuple[str, ...] = ("lang", "source", "n_chars")) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law isn't by key), curve."""
+    return _places(docs, shards, dimensions).select(
+        "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve",
     )
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, dimensions: tuple[str, ...] = ("lang", "source", "n_chars"), rows_per_file: int = 1_000_000) -> None:
-    """Write the documents as Parquet: a folder a shard, rows in curve order, runs of ``rows_per_file`` to a file."""
-    places = hilbert_shards(docs, shards, dimensions).select("doc_id", "text_crc32", "shard", "slot").dropDuplicates(["doc_id", "text_crc32"])
-    keyed = docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).join(places, ["doc_id", "text_crc32"])
-    run = (F.col("slot") / rows_per_file).cast("long")
-    dealt = keyed.withColumn("_run", run).repartition("shard", "_run").sortWithinPartitions("shard", "slot")
-    dealt.drop("_run", "slot", "text_crc32").write.partitionBy("shard").parquet(path)
+    """Write the documents as Parquet: a folder a shard, rows in curve order, runs of ``rows_per_file`` to a file.
+
+    Every row goes with all its columns to the place that ``hilbert_shards`` gives it; nothing is joined.
+    """
+    if "shard" in docs.columns:
+        raise ValueError("a column named shard would clash with the folders' names")
+    held, slot, run = (f"_{x}_{uuid.uuid4().hex}" for x in ("held", "slot", "run"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(held)
+    placed = _places(docs, shards, dimensions, (row,)).select(f"{held}.*", "shard", F.col("slot").alias(slot))
+    dealt = placed.withColumn(run, (F.col(slot) / rows_per_file).cast("long")).repartition("shard", run).sortWithinPartitions("shard", slot)
+    dealt.drop(run, slot).write.partitionBy("shard").parquet(path)

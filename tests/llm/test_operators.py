@@ -515,3 +515,15 @@ def test_shards(odd_docs, no_docs, monkeypatch, tmp_path, spark):
     plain = odd_docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
     sharding.write_shards(plain, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == plain.count()
+
+
+def test_shards_on_disk_hold_every_row(odd_docs, tmp_path, spark):
+    docs = odd_docs.withColumn("text_crc32", F.lit("own")).withColumn("slot", F.lit(3)).withColumn("a.b", F.lit("dot"))
+    sharding.write_shards(docs, str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.drop("shard").columns == docs.columns
+    assert back.drop("shard").exceptAll(docs).count() == docs.exceptAll(back.drop("shard")).count() == 0
+    want = sorted((r["shard"], r["doc_id"] or -1) for r in sharding.hilbert_shards(docs).collect())
+    assert sorted((r["shard"], r["doc_id"] or -1) for r in back.select("shard", "doc_id").collect()) == want
+    with pytest.raises(ValueError):
+        sharding.write_shards(odd_docs.withColumn("shard", F.lit(1)), str(tmp_path / "t"))
