@@ -33,8 +33,8 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place the documents' token pieces in training sequences."""
-    return packing.pack_documents(docs)
+    """Place the documents' token pieces, with their ids, in training sequences."""
+    return packing.pack_documents(docs, keep_ids=True)
 
 
 STAGES = [

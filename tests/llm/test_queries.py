@@ -1,6 +1,7 @@
 """The registered queries against DuckDB, and the pipeline's stages against their operators."""
 
 import importlib
+import zlib
 
 import pytest
 
@@ -27,3 +28,11 @@ def test_pipeline(spark):
     assert docs.count() > 0.8 * first.count()
     packed = pipeline.run(spark, SF)
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def test_the_pipeline_gives_token_ids(spark):
+    pipeline = importlib.import_module("corpus_pipeline")
+    docs = spark.createDataFrame([(1, "some words to pack", "en", "s", 18), (2, None, None, None, None), (3, "more " * 9000, "en", "s", 45000)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert {r["doc_id"] for r in rows} >= {1, 3}
+    assert all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"] for r in rows)
