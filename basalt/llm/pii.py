@@ -8,15 +8,20 @@ different entities of a kind have different surrogates, none its own, and equal
 their case) equal ones, in every document and on every machine, without a shared table.  Only private
 keys and parts over ``LONG`` characters rest on a digest instead.  Script, length,
 separators, case, and in names the honorific and the ending that tells gender stay; card numbers keep a
-valid check digit, addresses stay addresses, domains keep their top level.
+valid check digit and account numbers valid check digits, addresses stay addresses, domains keep their
+top level.  Cards, accounts, phone and social security numbers are permuted without their separators, so
+one number in several layouts has one surrogate, each time in its own layout.
 
 Collisions are checked, not only excluded: ``surrogates_distinct`` says of each document that its entities and surrogates are
 equally many; ``surrogate_collisions`` lists surrogates that several entities of the corpus share.
 
 Defined results: null texts stay null and have no entities; texts without entities are not changed; equal
-rows have equal results; an empty table gives no rows; other columns pass through unread, but for
-columns of the input named like the three results, which these replace.  Letters of
-scripts without a class here (such as Han) are kept.
+rows have equal results; very long texts are searched whole, in time in line with their length; where
+entities could overlap (a tie), the one that begins first is taken, then the kind named first in
+``PATTERNS``; an empty table gives no rows; other columns pass through unread, but for
+columns of the input named like the three results, which these replace.  Numbers of a card's length
+whose check digit is wrong, and account numbers written in one piece whose check digits are wrong, are no
+entities.  Letters of scripts without a class here are kept.
 """
 
 from __future__ import annotations
@@ -33,25 +38,42 @@ _VOWELS = ("aeiou", "àáâäåæèéêëìíîïòóôöùúûü", "аеиоу
 _CONSONANTS = ("bcdfghjklmnpqrstvwxyz", "çñ", "бвгджзйклмнпрстфхцчшщ", "βγδζθκλμνξπρστφχψ")
 _ALPHABETS = ("0123456789", *_VOWELS, *_CONSONANTS, *(x.upper() for x in (*_VOWELS, *_CONSONANTS)))
 
-_EDGE, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+# Scripts whose letters form one class each: first and last code point.
+_RANGES = ((0x05D0, 0x05EA), (0x0621, 0x063A), (0x0641, 0x064A), (0x0905, 0x0939), (0x0E01, 0x0E2E), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
+
+# Every quantifier over a group is bounded and every unbounded one is over a single class, as Java's matcher calls
+# itself once a turn of a group; no unbounded run can start inside another one, so time stays linear.
+_EDGE, _END = r"(?<![A-Za-z0-9_\p{L}\p{N}])", r"(?![A-Za-z0-9_\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _HONORIFIC = r"(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señor|Señora|Sr|Sra|Don|Doña|Г-н|Г-жа|Κύριος|Κυρία)\.?"
-_ASSIGNED = r"(?:[A-Za-z0-9]+[_-])*(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth)(?:[_-][A-Za-z0-9]+)*"
+_SUFFIX = r"\d*+(?:[_-][A-Za-z0-9]++){0,6}+"
+_SURE = r"(?i:password|passwd|pwd|passphrase|api[_-]?key|access[_-]?key)" + _SUFFIX
+_LIKELY = r"(?i:secret|token|auth)" + _SUFFIX
+_IS = r"\s{0,3}[:=]\s{0,3}"
+_ASSIGNED = rf"(?:{_SURE}|{_LIKELY}){_IS}[\"']?"
+#: Plain words behind a colon are prose (`the secret: remember`), unless the name says that it is a password.
+_NO_PROSE = r"(?!\s{0,3}:\s{1,3}[\p{L}'’-]{1,40}[.,;:!?)]{0,3}(?:\s|$))"
 
 #: Kinds and their patterns; where several fit at one place, the first is taken.
 PATTERNS = {
-    "private_key": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,40}PRIVATE KEY-----",
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
-    "token": _EDGE + r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}|sk[-_][A-Za-z0-9_-]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,})" + _END,
-    "secret": _EDGE + _ASSIGNED + r"\s{0,3}[:=]\s{0,3}[\"']?[^\s\"'<>]{6,}+",
-    "iban": _EDGE + r"[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?" + _END,
-    "ip": r"(?<![\p{L}\p{N}_.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?![\p{L}\p{N}_]|\.\d)",
-    "ssn": r"(?<![\p{L}\p{N}_-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}_-])",
-    "card": r"(?<![\p{L}\p{N}_.,-])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}_-])",
-    "phone": r"(?<![\p{L}\p{N}_.,-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,13}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}_])",
-    "name": _EDGE + _HONORIFIC + r" \p{Lu}[\p{L}'’-]{1,30}(?: \p{Lu}[\p{L}'’-]{1,30})?",
+    "private_key": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:\s{1,4}[A-Za-z-]{1,40}: [^\n]{0,400}){0,4}[A-Za-z0-9+/=\s\\]*+-----END [A-Z ]{0,40}PRIVATE KEY-----",
+    "email": r"(?<![A-Za-z0-9\p{L}\p{N}._%+-])[A-Za-z0-9\p{L}\p{N}._%+-]++@[\p{L}\p{N}][\p{L}\p{N}.-]*\.\p{L}{2,}+",
+    "token": _EDGE + r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}|sk[-_][A-Za-z0-9_-]{16,}|AIza[A-Za-z0-9_-]{35}|(?<!-)eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,})" + _END,
+    "secret": r"(?<![A-Za-z0-9\p{L}\p{N}])(?:" + _SURE + "|" + _LIKELY + _NO_PROSE + ")" + _IS + r"[\"']?[^\s\"'<>]{6,}+",
+    "iban": _EDGE + r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?)" + _END,
+    "ip": r"(?<![A-Za-z0-9\p{L}\p{N}_.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?![\p{L}\p{N}_]|\.\d)",
+    "ssn": r"(?<![A-Za-z0-9\p{L}\p{N}_-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}_-])",
+    "card": r"(?<![A-Za-z0-9\p{L}\p{N}_.,-])(?:\d{13,19}+|(?:\d{4} ){3}\d{1,7}+|(?:\d{4}-){3}\d{1,7}+|\d{4}[ -]\d{6}[ -]\d{4,5}+)(?![\p{L}\p{N}_-]|\.\d)",
+    "phone": r"(?<![A-Za-z0-9\p{L}\p{N}_.,-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,13}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}_])",
+    "name": _EDGE + _HONORIFIC + r" (?:\p{Lu}[\p{L}'’-]{1,30}(?: \p{Lu}[\p{L}'’-]{1,30})?|\p{IsHan}{1,6}|\p{IsHangul}{1,6}|[\p{IsHiragana}\p{IsKatakana}]{1,12})",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What each kind may begin with, so that most places of a text fail at one look.
+_FIRST = {"token": "[Agxse]", "secret": "[pPsStTaA]", "iban": "[A-Z]", "ip": r"\d", "ssn": r"\d", "card": r"\d", "phone": r"[\d+(]", "name": "[MDHFSГΚ]"}
+ANY = (
+    f"{PATTERNS['private_key']}|(?<![A-Za-z0-9\\p{{L}}\\p{{N}}])(?:"
+    + "|".join((f"(?={_FIRST[k]})" if k in _FIRST else "") + f"(?:{p})" for k, p in PATTERNS.items() if k != "private_key")
+    + ")"
+)
 
 
 def _let(value: Column, body) -> Column:
@@ -60,13 +82,35 @@ def _let(value: Column, body) -> Column:
 
 
 def kind_of(entity: Column) -> Column:
-    """The first kind whose pattern is the whole entity."""
+    """The first kind whose pattern is the whole entity; null for numbers that only look like a card or an account."""
     out = F.lit("secret")
     for kind, pattern in reversed(PATTERNS.items()):
-        out = F.when(entity.rlike(f"^(?:{pattern})$"), kind).otherwise(out)
+        own = F.lit(kind)
+        if kind == "card":
+            own = F.when(_luhn(_compact(entity)) == 0, own)
+        if kind == "iban":
+            own = F.when(entity.contains(" ") | (_account_sum(entity) == 1), own)
+        out = F.when(entity.rlike(f"^(?:{pattern})$"), own).otherwise(out)
     return out
 
 
+#: Kinds whose separators are only layout: one number in several layouts has one surrogate.
+_LAID_OUT = ("card", "phone", "ssn", "iban")
+
+
+def _compact(entity: Column) -> Column:
+    return F.regexp_replace(entity, r"[^A-Za-z0-9+]", "")
+
+
+def _laid_out(entity: Column, made: Column) -> Column:
+    """The characters of ``made`` with the separators of ``entity`` between them."""
+    step = lambda n, out: F.struct(n.alias("n"), out.alias("out"))
+    return F.aggregate(
+        F.split(entity, ""),
+        step(F.lit(0), F.lit("")),
+        lambda at, c: F.when(c.rlike("[A-Za-z0-9+]"), step(at["n"] + 1, F.concat(at["out"], _substring(made, at["n"] + 1, F.lit(1))))).otherwise(step(at["n"], F.concat(at["out"], c))),
+        lambda at: at["out"],
+    )
 
 
 # Where each character's class begins and how long it is, three digits a character.
@@ -78,10 +122,11 @@ _SIZES = "".join(f"{len(a):03d}" * len(a) for a in _ALPHABETS)
 _NOTHING = "(?!)"
 _KEPT = {
     "email": r"@|\.\p{L}+$",
-    "phone": r"^\+\d{1,3}",
-    "iban": "^[A-Z]{2}",
+    "card": r"^\d|\d$",
+    "phone": r"^\+\d",
+    "iban": r"^[A-Z]{2}\d{2}",
     "token": "^(?:AKIA|ASIA|AIza|gh[pousr]_|xox[abprs]-|sk[-_]|eyJ)",
-    "secret": "^" + _ASSIGNED + r"\s{0,3}[:=]\s{0,3}[\"']?",
+    "secret": "^" + _ASSIGNED,
     "name": "^" + _HONORIFIC + r" |\p{L}(?= |$)| ",
 }
 
@@ -97,8 +142,12 @@ def _shifted(char: Column, shift: Column) -> Column:
         begin = F.substr(F.lit(_BEGINS), 3 * at - 2, F.lit(3)).cast("int")
         size = F.substr(F.lit(_SIZES), 3 * at - 2, F.lit(3)).cast("int")
         to = begin + F.pmod(at - begin - 1 + shift, size).cast("int") + 1
-        return F.when(at > 0, F.substr(F.lit(_ALL), to, F.lit(1))).otherwise(char)
+        return F.when(at > 0, F.substr(F.lit(_ALL), to, F.lit(1))).otherwise(beyond)
 
+    code, beyond = F.ascii(char), char
+    for least, most in _RANGES:
+        to = least + F.pmod(code - least + shift, F.lit(most - least + 1)).cast("int")
+        beyond = F.when(code.between(least, most), F.decode(F.unhex(F.lpad(F.hex(to), 4, "0")), "UTF-16BE")).otherwise(beyond)
     return _let(F.instr(F.lit(_ALL), char), moved)
 
 
@@ -135,7 +184,7 @@ def permuted(text: Column, seed: Column) -> Column:
 
 
 #: Any letter or digit that has a class.
-_MOVABLE = "[" + "".join(_ALPHABETS) + "]"
+_MOVABLE = "[" + "".join(_ALPHABETS) + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in _RANGES) + "]"
 
 
 def _turned(parts: Column, by: int) -> Column:
@@ -219,6 +268,24 @@ def _checked(number: Column, remainder: Column) -> Column:
     return F.concat(body, F.pmod(10 + remainder - with_zero, F.lit(10)).cast("string"))
 
 
+def _account_sum(account: Column) -> Column:
+    """The remainder modulo 97 of an account number without separators: 1 if its check digits are right."""
+    turned = F.split(F.concat(_substring(account, F.lit(5), F.char_length(account)), _substring(account, F.lit(1), F.lit(4))), "")
+
+    def step(at: Column, c: Column) -> Column:
+        digit = F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1
+        return F.when(c == "", at).otherwise((at * F.when(digit > 9, 100).otherwise(10) + digit) % 97)
+
+    return F.aggregate(turned, F.lit(0), step)
+
+
+def _account_checked(made: Column, was: Column) -> Column:
+    """An account number with check digits as far from the right ones as they were in ``was``: right ones stay right."""
+    right = lambda x: 98 - _account_sum(F.concat(_substring(x, F.lit(1), F.lit(2)), F.lit("00"), _substring(x, F.lit(5), F.char_length(x))))
+    digits = F.pmod(right(made) + _substring(was, F.lit(3), F.lit(2)).cast("int") - right(was), F.lit(100))
+    return F.concat(_substring(made, F.lit(1), F.lit(2)), F.lpad(digits.cast("string"), 2, "0"), _substring(made, F.lit(5), F.char_length(made)))
+
+
 def _private_key(entity: Column, seed: Column) -> Column:
     """A key's body is hashed, not permuted: it is long and its only format is its alphabet and length."""
     head = F.regexp_extract(entity, "^-----BEGIN [A-Z ]*PRIVATE KEY-----", 0)
@@ -232,23 +299,28 @@ def _private_key(entity: Column, seed: Column) -> Column:
 def surrogate(entity: Column, kind: Column, key: str = DEFAULT_KEY) -> Column:
     """The surrogate of an entity: a permutation within kind and format that leaves nothing as it is.
 
-    Card numbers keep the remainder of their check sum, so valid and invalid ones stay apart.
+    Card and account numbers keep the remainder of their check sums, so valid and invalid ones stay apart;
+    a null kind leaves the entity as it is.
     """
-    remainder = F.when(kind == "card", _luhn(F.regexp_replace(entity, r"\D", "")))
-    kept = F.when(kind == "card", r"^\d|\d$").otherwise(_NOTHING)
+    return _let(F.when(kind.isin(*_LAID_OUT), _compact(entity)).otherwise(entity), lambda x: _surrogate(x, entity, kind, key))
+
+
+def _surrogate(core: Column, entity: Column, kind: Column, key: str) -> Column:
+    kept = F.lit(_NOTHING)
     for k, pattern in _KEPT.items():
         kept = F.when(kind == k, pattern).otherwise(kept)
     seed = F.concat(F.lit(f"{key}/0/"), kind)
     image = lambda parts: F.transform(parts, lambda p: permuted(p, seed))
     parts = _let(
-        F.split(entity, kept, -1),
+        F.split(core, kept, -1),
         lambda x: _without_fixed_points(x, image, _turned, lambda z: F.forall(z, lambda p: _may_stay(p, seed)), max(map(len, _ALPHABETS))),
     )
     joined = F.array_join(
-        F.zip_with(parts, F.regexp_extract_all(entity, kept, F.lit(0)), lambda p, k: F.concat(p, F.coalesce(k, F.lit("")))), ""
+        F.zip_with(parts, F.regexp_extract_all(core, kept, F.lit(0)), lambda p, k: F.concat(p, F.coalesce(k, F.lit("")))), ""
     )
-    made = F.when(kind == "card", _let(joined, lambda x: _checked(x, remainder))).otherwise(joined)
-    return F.when(kind == "ip", _octets(entity, seed)).when(kind == "private_key", _private_key(entity, seed)).otherwise(made)
+    checked = _let(joined, lambda x: F.when(kind == "card", _checked(x, _luhn(core))).when(kind == "iban", _account_checked(x, core)).otherwise(x))
+    own = _let(checked, lambda x: F.when(kind.isin(*_LAID_OUT), _laid_out(entity, x)).otherwise(x))
+    return F.when(kind.isNull(), entity).when(kind == "ip", _octets(entity, seed)).when(kind == "private_key", _private_key(entity, seed)).otherwise(own)
 
 
 def detect(text: Column) -> Column:
@@ -258,7 +330,7 @@ def detect(text: Column) -> Column:
 
 def find_entities(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """doc_id, kind, entity, surrogate of every entity."""
-    found = docs.select("doc_id", F.explode(detect(F.col("text"))).alias("entity")).withColumn("kind", kind_of(F.col("entity")))
+    found = docs.select("doc_id", F.explode(detect(F.col("text"))).alias("entity")).withColumn("kind", kind_of(F.col("entity"))).filter("kind is not null")
     return found.select("doc_id", "kind", "entity", surrogate(F.col("entity"), F.col("kind"), key).alias("surrogate"))
 
 
@@ -271,20 +343,20 @@ def surrogate_collisions(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
 def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """The input's columns with surrogates in ``text``, and pii_kinds, pii_distinct, surrogates_distinct.
 
-    Texts without entities cost one search.  ``n_chars``, if there, follows the text.
+    A text without entities costs one search.  ``n_chars``, if there, follows the text.
     """
     text = F.col("text")
-    has = F.coalesce(text.rlike(ANY), F.lit(False))
-    entities = F.when(has, detect(text)).otherwise(F.array().cast("array<string>"))
-    made = F.transform(entities, lambda e: _let(kind_of(e), lambda k: F.struct(k.alias("kind"), e.alias("entity"), surrogate(e, k, key).alias("surrogate"))))
     held = f"_pii_{uuid.uuid4().hex}"
-    found = docs.withColumn(held, made)
+    found = docs.withColumn(held, F.coalesce(detect(text), F.array().cast("array<string>")))
+    made = F.transform(held, lambda e: _let(kind_of(e), lambda k: F.struct(k.alias("kind"), e.alias("entity"), surrogate(e, k, key).alias("surrogate"))))
+    found = found.withColumn(held, F.when(F.size(held) > 0, made).otherwise(F.array().cast("array<struct<kind:string,entity:string,surrogate:string>>")))
     between = F.split(text, ANY, -1)
     joined = F.zip_with(between, F.col(held), lambda b, e: F.concat(b, F.coalesce(e["surrogate"], F.lit(""))))
     new = F.when(F.size(held) > 0, F.array_join(joined, "")).otherwise(text)
-    own = F.size(F.array_distinct(F.transform(held, lambda e: F.struct(e["kind"], e["entity"]))))
-    theirs = F.size(F.array_distinct(F.transform(held, lambda e: F.struct(e["kind"], e["surrogate"]))))
-    kinds = F.transform(held, lambda e: e["kind"])
+    real = F.filter(held, lambda e: e["kind"].isNotNull())
+    own = F.size(F.array_distinct(F.transform(real, lambda e: F.struct(e["kind"], e["entity"]))))
+    theirs = F.size(F.array_distinct(F.transform(real, lambda e: F.struct(e["kind"], e["surrogate"]))))
+    kinds = F.transform(real, lambda e: e["kind"])
     own_names = ("pii_kinds", "pii_distinct", "surrogates_distinct")
     columns = {c: F.col(f"`{c}`") for c in docs.columns if c not in own_names} | {"text": new}
     if "n_chars" in columns:

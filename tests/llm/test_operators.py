@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -274,12 +275,14 @@ def test_long_secrets_go_to_their_end(spark):
     some = lambda n: "".join(rng.choices(chars, k=n))
     jwt = f"eyJ{some(300)}.{some(500)}.{some(300)}"
     long = {
-        f"token={jwt}": "secret", f"access_token: {jwt}": "secret", "password=" + some(20_000): "secret", f"eyJ{some(2500)}.{some(5000)}.{some(1500)}": "token",
+        f"token={jwt}": "secret", f"token: {jwt}": "secret", "password=" + some(20_000): "secret", f"eyJ{some(2500)}.{some(5000)}.{some(1500)}": "token",
         "ghp_" + some(400): "token", "xoxb-" + some(300): "token", "sk-" + some(300): "token",
         f"-----BEGIN PRIVATE KEY-----\n{some(30_000)}\n-----END PRIVATE KEY-----": "private_key",
     }
     df = spark.createDataFrame([(k, f"see {e} now") for k, e in enumerate(long)], "doc_id long, text string")
     assert {r["entity"]: r["kind"] for r in pii.find_entities(df).collect()} == long
+    named = spark.createDataFrame([(1, f"see access_token: {jwt} now")], "doc_id long, text string")  # what stands before a key word stays
+    assert [r["entity"] for r in pii.find_entities(named).collect()] == [f"token: {jwt}"]
     new = {r["doc_id"]: r["text"] for r in pii.replace_entities(df).collect()}
     for k, e in enumerate(long):
         assert new[k].startswith("see ") and new[k].endswith(" now") and len(new[k]) == len(e) + 8
@@ -290,6 +293,62 @@ def test_long_secrets_go_to_their_end(spark):
     assert a == c != b and a.startswith("token=")
 
 
+def test_hostile_texts_end_in_bounded_time(spark):
+    """Runs that a pattern could recurse over, or start again at every place of."""
+    runs = ["a_", "a-", "1 ", "password_", "token:", "eyJ-", "sk-", "x@", "a.", "+1 ", "x@a.", "-----BEGIN PRIVATE KEY-----", "DE89 ", "Mr. A", "1234 ", "secret: ", "api_key"]
+    texts = [r * (3_000_000 // len(r)) for r in runs] + ["password=" + "a_" * 1_000_000, "token_" + "a_" * 1_000_000 + "=x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(len(texts))
+    began = time.monotonic()
+    assert df.select(F.sum(F.size(pii.detect(F.col("text"))))).first()[0] > 0
+    assert time.monotonic() - began < 60
+    short = spark.createDataFrame([(k, t[:6000]) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert pii.replace_entities(short).filter("surrogates_distinct").count() == len(texts)
+
+
+def test_one_number_in_many_layouts(spark):
+    same = [
+        ("4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111"), ("+1 988 555 2485", "+1 (988) 555-2485", "+19885552485"),
+        ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00"), ("GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32"),
+    ]
+    rows = [(100 * k + i, f"see {e}, {e}.") for k, own in enumerate(same) for i, e in enumerate(own)]
+    found = pii.find_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == 2 * len(rows)
+    bare = lambda x: re.sub("[^A-Z0-9+]", "", x)
+    for k, own in enumerate(same):
+        assert {r["entity"] for r in found if r["doc_id"] // 100 == k} == set(own)
+        (made,) = {bare(r["surrogate"]) for r in found if r["doc_id"] // 100 == k}
+        assert made != bare(own[0])
+        if made[:2].isalpha():
+            assert made[:2] == own[0][:2] and int("".join(str(int(c, 36)) for c in made[4:] + made[:4])) % 97 == 1
+    assert {re.sub("[A-Z0-9]", "x", r["surrogate"]) for r in found} == {re.sub("[A-Z0-9]", "x", r["entity"]) for r in found}
+
+
+def test_accounts_stay_apart(spark):
+    """Accounts with right and wrong check digits, all of one body: one-to-one, right ones right."""
+    entities = [f"DE{c:02d} 3704 0044 0532 0130 00" for c in range(100)]
+    df = spark.createDataFrame([(e,) for e in entities], "e string").select("e", pii.surrogate(F.col("e"), F.lit("iban")).alias("s"))
+    right = lambda x: int("".join(str(int(c, 36)) for c in x.replace(" ", "")[4:] + x[:4])) % 97 == 1
+    rows = df.collect()
+    assert len({r["s"] for r in rows}) == 100
+    assert all(right(r["e"]) <= right(r["s"]) for r in rows)
+
+
+def test_what_only_looks_personal_stays(spark):
+    clean = [
+        "order 4111111111111112 of 2024", "The secret: remember everything", "one token: lexical, of many", "auth: required.", "part AB12CDEF34567890 fits", "version 1.2.3 of 10.2",
+        "on 2024-01-02 at 10:15", "a ratio of 3:4 and 1 - 2", "1234567890", "mail at noon @ the corner", "password reset", "Mr. x said",
+    ]
+    df = spark.createDataFrame(list(enumerate(clean)), "doc_id long, text string")
+    got = pii.replace_entities(df).collect()
+    assert [r["text"] for r in sorted(got, key=lambda r: r["doc_id"])] == clean
+    assert not any(r["pii_kinds"] for r in got)
+    taken = ["token: a1b2c3d4", "password: hunterxyz", "DB_PASSWORD=abcdefgh", "my-api_key_2 = 'abcdefgh'", "secret=remember", "Mr. 王小明 came", "Κύριος Παύλος", "4913187196670932 53.121.55.90"]
+    got = pii.replace_entities(spark.createDataFrame(list(enumerate(taken)), "doc_id long, text string")).collect()
+    new = [r["text"] for r in sorted(got, key=lambda r: r["doc_id"])]
+    assert not set(new) & set(taken) and new[2].startswith("DB_PASSWORD=") and "王小明" not in new[5] and re.search("[\u4e00-\u9fff]{3}", new[5])
+    assert [r["pii_kinds"] for r in got if r["doc_id"] == 7] == [["card", "ip"]]
+
+
 # 6 near duplicates -------------------------------------------------------------------------------
 
 
