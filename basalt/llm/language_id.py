@@ -2,16 +2,21 @@
 
 A text's features are its words and the 3- and 4-byte subwords of its words (with word borders), hashed
 into ``BUCKETS``.  The model averages their embeddings and applies a linear softmax; both are learned by
-stochastic gradient descent in numpy on the driver, from a bounded sample of labelled rows that
-executors reduce to bucket counts.  As the average is linear, prediction adds one integer per class and
-feature: exact, so a text's result doesn't depend on its batch.
+stochastic gradient descent in numpy on the driver, from a bounded sample of labelled rows (as many of
+each language) that executors reduce to bucket counts.  As the average is linear, prediction adds one
+integer per class and feature: exact, so a text's result doesn't depend on its batch.
 
-A temperature and a rejection threshold are fitted on a part of the labelled rows that training didn't
-see: the score is the calibrated probability, and a text is rejected if its score is below the threshold
-or it has no letter.
+Beside the languages the softmax has a class for everything else.  It learns from noise: pieces of the
+sampled texts with their letters shuffled, and random buckets, so that subwords which no learned language
+has speak for it.  A temperature and, for each class of text length, a rejection threshold are fitted on
+labelled rows and noise that training didn't see.  The score is the calibrated probability of the best
+language; a text is rejected if that of all languages together is below its length's threshold (so a text
+in two known languages stays) or if it has no letter.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and rejected; equal rows
-have equal results; an empty table gives no rows; other columns are never read for a prediction.
+have equal results; very long texts are read whole and judged as the longest class; of languages with one
+probability (a tie) the first by name is taken; an empty table gives no rows; other columns are never
+read for a prediction, but pass through ``keep_identified``.
 """
 
 from __future__ import annotations
@@ -25,18 +30,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .storage import ship_package
+from .storage import sample_limit, sampled, ship_package
 
 BUCKETS = 1 << 15
 DIMENSIONS = 16
-#: Labelled rows that are learned from, about; each also gives ``SNIPPETS`` short pieces of its text.
+#: Labelled rows that are learned from, about; each gives ``PIECES`` runs of 1 to ``PIECE_WORDS`` of its words.
 SAMPLE_ROWS = 3_000
-SNIPPETS = 3
-EPOCHS = 12
-#: At most this share of calibration texts is rejected.
-MOST_REJECTED = 0.0005
-#: Scores from here on are never rejected, however sure the model is of its calibration texts.
-SURE_ENOUGH = 0.4
+PIECES = 4
+PIECE_WORDS = 400
+EPOCHS = 6
+#: Lengths (features) at which the next class of texts begins; each class has a rejection threshold of its own.
+LENGTHS = (24, 96, 384)
+#: Of calibration texts and of noise, the shares that are left out of account; a threshold lies ``SLACK`` of the way from
+#: the texts towards the noise (and so above languages that nobody labelled, which lie between the two).
+MOST_REJECTED, MOST_ACCEPTED, SLACK = 0.002, 0.02, 0.1
 UNDETERMINED = "und"
 
 _SPACE = np.uint8(0x20)
@@ -81,16 +88,16 @@ def features(data: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]
-    table: np.ndarray  # BUCKETS x languages, fixed point
+    table: np.ndarray  # BUCKETS x (languages and noise), fixed point
     bias: np.ndarray
     temperature: float
-    threshold: float
+    thresholds: tuple[float, ...]  # one a length class
 
     def logits(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         rows = len(parts[0][1]) - 1
-        n = np.maximum(sum(np.diff(at) for _, at in parts), 1)
-        out = np.empty((rows, len(self.languages)))
-        for k in range(len(self.languages)):
+        n = np.maximum(_lengths(parts), 1)
+        out = np.empty((rows, len(self.bias)))
+        for k in range(len(self.bias)):
             own = np.ascontiguousarray(self.table[:, k])
             total = np.zeros(rows, dtype=np.int64)
             for buckets, at in parts:
@@ -103,20 +110,27 @@ class LanguageModel:
     def counted_logits(self, examples: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """The same from (buckets, counts) of each text."""
         sums = [(self.table[b] * n[:, None]).sum(axis=0) / n.sum() for b, n in examples]
-        return np.array(sums).reshape(-1, len(self.languages)) / _FIXED + self.bias
+        return np.array(sums).reshape(-1, len(self.bias)) / _FIXED + self.bias
 
-    def predict(self, data: np.ndarray, bounds: np.ndarray) -> tuple[list[str], np.ndarray]:
-        chance = _softmax(self.logits(features(data, bounds)) / self.temperature)
+    def predict(self, data: np.ndarray, bounds: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Each document's language, score, and whether it is kept."""
+        parts = features(data, bounds)
+        chance = _softmax(self.logits(parts) / self.temperature)[:, : len(self.languages)]
         best = chance.argmax(axis=1)
         lang = [self.languages[k] for k in best]
         score = chance[np.arange(len(best)), best]
+        keep = chance.sum(axis=1) >= np.array(self.thresholds)[np.searchsorted(LENGTHS, _lengths(parts), side="right")]
         ascii_letters = np.zeros(len(data) + 1, dtype=np.int64)
         np.cumsum((_LETTERS[data] != _SPACE) & (data < 0x80), out=ascii_letters[1:])
         for d in np.flatnonzero(ascii_letters[bounds[1:]] == ascii_letters[bounds[:-1]]).tolist():
             text = data[bounds[d] : bounds[d + 1]].tobytes().decode("utf-8", "replace")
             if not any(c.isalpha() for c in text):
-                lang[d], score[d] = UNDETERMINED, 0.0
-        return lang, score
+                lang[d], score[d], keep[d] = UNDETERMINED, 0.0, False
+        return lang, score, keep & (np.array(lang) != UNDETERMINED)
+
+
+def _lengths(parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    return sum(np.diff(at) for _, at in parts)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -129,88 +143,132 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
 
 
-def _examples(docs: DataFrame, sample_rows: int) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
-    """(language, fold, buckets, counts) of a sample of labelled texts and of short pieces of them."""
-    labelled = docs.filter(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 2)).select(
-        F.col("lang").alias("lang"), fold(F.col("doc_id")).alias("fold"), F.xxhash64("doc_id").alias("seed"), F.col("text").cast("binary").alias("text")
-    )
-    total = labelled.count()
-    part = int(min(1.0, sample_rows / max(total, 1)) * 1_000_000)
-    picked = labelled.filter(F.pmod("seed", F.lit(1_000_000)) < part)
+@dataclass(frozen=True)
+class Example:
+    """A piece of a labelled text (or noise: no language) as bucket counts."""
+
+    lang: str | None
+    calibrates: bool
+    buckets: np.ndarray
+    counts: np.ndarray
+
+
+def _shuffled(piece: str, rng: np.random.Generator) -> str:
+    """The same word lengths with the letters dealt out anew."""
+    chars = np.array(list(piece))
+    letters = np.flatnonzero(~np.char.isspace(chars)) if len(chars) else np.zeros(0, dtype=np.int64)
+    chars[letters] = chars[rng.permutation(letters)]
+    return "".join(chars)
+
+
+def _examples(docs: DataFrame, sample_rows: int) -> list[Example]:
+    """Pieces of a sample of labelled texts, as many texts of each language, and noise made of them."""
+    usable = docs.filter(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 2))
+    counted = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counted:
+        return []
+    limits = [(lang, sample_limit(sample_rows / len(counted), n)) for lang, n in counted.items()]
+    wanted = docs.sparkSession.createDataFrame(limits, "lang string, _limit long")  # a row a language
+    seed = F.xxhash64("doc_id", F.octet_length("text"))
+    labelled = usable.select(F.col("lang"), fold(F.col("doc_id")).alias("fold"), seed.alias("seed"), F.col("text").cast("binary").alias("text"))
+    picked = labelled.join(F.broadcast(wanted), "lang").filter(sampled(F.col("seed"), F.col("_limit"))).drop("_limit").dropDuplicates(["seed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, f, seed, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 own = (text or b"").split()
                 rng = np.random.default_rng(seed & 0xFFFFFFFF)
-                pieces = [text or b""]
-                for _ in range(SNIPPETS if own else 0):
-                    n = int(rng.integers(1, 13))
+                found: list[tuple[bool, tuple[np.ndarray, np.ndarray]]] = []
+                for k in range(PIECES if own else 0):
+                    n = PIECE_WORDS if k == 0 else int(np.exp(rng.uniform(0, np.log(PIECE_WORDS))))
                     a = int(rng.integers(0, max(len(own) - n, 0) + 1))
-                    pieces.append(b" ".join(own[a : a + n]))
-                counted = []
-                for p in pieces:
-                    buckets = np.concatenate([h for h, _ in features(np.frombuffer(p, dtype=np.uint8), np.array([0, len(p)]))])
-                    if len(buckets):
-                        counted.append(np.unique(buckets, return_counts=True))
-                if counted:
+                    piece = b" ".join(own[a : a + n])
+                    for noise, p in ((False, piece), (True, _shuffled(piece.decode("utf-8", "replace"), rng).encode())):
+                        buckets = np.concatenate([h for h, _ in features(np.frombuffer(p, dtype=np.uint8), np.array([0, len(p)]))])
+                        if len(buckets) and (not noise or k % 2):
+                            found.append((noise, np.unique(buckets, return_counts=True)))
+                if found:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([x] * len(counted), t) for x, t in ((lang, pa.string()), (f, pa.int64()), (seed, pa.int64()))]
-                        + [pa.array([c[k].astype("<i4").tobytes() for c in counted], pa.binary()) for k in (0, 1)],
+                        [pa.array([None if noise else lang for noise, _ in found], pa.string())]
+                        + [pa.array([x] * len(found), pa.int64()) for x in (f, seed)]
+                        + [pa.array([c[k].astype("<i4").tobytes() for _, c in found], pa.binary()) for k in (0, 1)],
                         ["lang", "fold", "seed", "buckets", "counts"],
                     )
 
-    rows = picked.mapInArrow(run, "lang string, fold long, seed long, buckets binary, counts binary").collect()
+    rows = picked.select("lang", "fold", "seed", "text").mapInArrow(run, "lang string, fold long, seed long, buckets binary, counts binary").collect()
     read = lambda x: np.frombuffer(bytes(x), dtype="<i4")
-    return [(r[0], r[1], read(r[3]), read(r[4])) for r in sorted(rows, key=lambda r: (r["seed"], bytes(r["buckets"])))]
+    out, rng = [], np.random.default_rng(11)
+    for r in sorted(rows, key=lambda r: (r["seed"], bytes(r["buckets"]))):
+        own = Example(r["lang"], r["fold"] == 3, read(r["buckets"]), read(r["counts"]))
+        out.append(own)
+        if r["lang"] is None:
+            made = np.unique(rng.integers(0, BUCKETS, max(int(own.counts.sum()), 1)), return_counts=True)
+            out.append(Example(None, own.calibrates, *made))
+    return out
 
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Learn from text and non-null ``lang`` of rows outside fold 2."""
     ship_package(docs.sparkSession)
-    examples = _examples(docs, sample_rows)
-    languages = tuple(sorted({e[0] for e in examples})) or (UNDETERMINED,)
-    number = {x: k for k, x in enumerate(languages)}
+    return fit(_examples(docs, sample_rows))
+
+
+def fit(examples: list[Example]) -> LanguageModel:
+    """Stochastic gradient descent on the examples that do not calibrate, then calibration on the others."""
+    languages = tuple(sorted({e.lang for e in examples if e.lang is not None})) or (UNDETERMINED,)
+    number = {x: k for k, x in enumerate((*languages, None))}
     rng = np.random.default_rng(7)
     table = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
-    weights = np.zeros((DIMENSIONS, len(languages)), dtype=np.float32)
-    weights[:] = rng.normal(0, 0.1, weights.shape)
-    bias = np.zeros(len(languages), dtype=np.float32)
-    learn = [e for e in examples if e[1] != 3]
+    weights = rng.normal(0, 0.1, (DIMENSIONS, len(number))).astype(np.float32)
+    bias = np.zeros(len(number), dtype=np.float32)
+    learn = [e for e in examples if not e.calibrates]
     for epoch in range(EPOCHS):
         rate = 8.0 * (1 - epoch / EPOCHS)
         order = rng.permutation(len(learn))
         for a in range(0, len(order), 64):
             batch = [learn[i] for i in order[a : a + 64]]
-            buckets = np.concatenate([e[2] for e in batch])
-            share = np.concatenate([e[3] / e[3].sum() for e in batch]).astype(np.float32)
-            at = np.cumsum([0, *(len(e[2]) for e in batch[:-1])])
+            buckets = np.concatenate([e.buckets for e in batch])
+            share = np.concatenate([e.counts / e.counts.sum() for e in batch]).astype(np.float32)
+            at = np.cumsum([0, *(len(e.buckets) for e in batch[:-1])])
             mean = np.add.reduceat(table[buckets] * share[:, None], at, axis=0)
             wrong = _softmax(mean @ weights + bias)
-            wrong[np.arange(len(batch)), [number[e[0]] for e in batch]] -= 1
+            wrong[np.arange(len(batch)), [number[e.lang] for e in batch]] -= 1
             back = wrong @ weights.T
             weights -= rate / len(batch) * mean.T @ wrong
             bias -= 0.1 * rate / len(batch) * wrong.sum(axis=0)
-            step = np.repeat(back, [len(e[2]) for e in batch], axis=0) * share[:, None]
-            np.subtract.at(table, buckets, rate * step)
+            step = np.repeat(back, [len(e.buckets) for e in batch], axis=0) * share[:, None]
+            by = np.argsort(buckets, kind="stable")  # one update a bucket
+            opens = np.flatnonzero(np.diff(buckets[by], prepend=-1))
+            table[buckets[by[opens]]] -= rate * np.add.reduceat(step[by], opens, axis=0)
     fixed = np.round(table.astype(np.float64) @ weights * _FIXED).astype(np.int64)
-    model = LanguageModel(languages, fixed, bias.astype(np.float64), 1.0, 0.0)
-    return calibrate(model, [e for e in examples if e[1] == 3])
+    model = LanguageModel(languages, fixed, bias.astype(np.float64), 1.0, (0.0,) * (len(LENGTHS) + 1))
+    return calibrate(model, [e for e in examples if e.calibrates])
+
 
+def calibrate(model: LanguageModel, examples: list[Example]) -> LanguageModel:
+    """Fit the temperature by likelihood, then a threshold for each class of lengths.
 
-def calibrate(model: LanguageModel, examples: list[tuple[str, int, np.ndarray, np.ndarray]]) -> LanguageModel:
-    """Fit the temperature by likelihood, then the threshold to the calibration scores."""
+    Where texts and noise of a length can't be told apart, the threshold is as low as the texts' own values.
+    """
     if not examples:
         return model
-    logits, known = model.counted_logits([e[2:] for e in examples]), [model.languages.index(e[0]) for e in examples]
+    number = {x: k for k, x in enumerate((*model.languages, None))}
+    logits, known = model.counted_logits([(e.buckets, e.counts) for e in examples]), [number[e.lang] for e in examples]
     best, temperature = np.inf, 1.0
     for t in np.geomspace(0.05, 20, 60):
         loss = -np.log(np.maximum(_softmax(logits / t)[np.arange(len(known)), known], 1e-12)).mean()
         if loss < best:
             best, temperature = loss, float(t)
-    score = np.sort(_softmax(logits / temperature).max(axis=1))
-    threshold = float(score[int(MOST_REJECTED * len(score))]) * 0.999
-    return LanguageModel(model.languages, model.table, model.bias, temperature, min(threshold, SURE_ENOUGH))
+    score = _softmax(logits / temperature)[:, : len(model.languages)].sum(axis=1)
+    noise = np.array([e.lang is None for e in examples])
+    length = np.searchsorted(LENGTHS, [int(e.counts.sum()) for e in examples], side="right")
+    thresholds = []
+    for c in range(len(LENGTHS) + 1):
+        texts, others = np.sort(score[(length == c) & ~noise]), np.sort(score[(length == c) & noise])
+        least = float(texts[int(MOST_REJECTED * len(texts))]) if len(texts) else 0.0
+        most = float(others[int((1 - MOST_ACCEPTED) * len(others))]) if len(others) else 0.0
+        thresholds.append(least - SLACK * (least - most) if least > most else least * 0.999)
+    return LanguageModel(model.languages, model.table, model.bias, temperature, tuple(thresholds))
 
 
 def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id") -> DataFrame:
@@ -220,10 +278,9 @@ def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, bounds in K.blocks(batch, "text"):
-                lang, score = model.predict(data, bounds)
-                gone = [x == UNDETERMINED or s < model.threshold for x, s in zip(lang, score.tolist(), strict=True)]
+                lang, score, keep = model.predict(data, bounds)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(gone, pa.bool_())],
+                    [batch.column(0).slice(first, end - first), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(~keep, pa.bool_())],
                     [key, "lang_pred", "score", "rejected"],
                 )
 
@@ -234,11 +291,10 @@ def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id") -> Data
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """The rows whose language isn't rejected, unchanged."""
     ship_package(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, bounds in K.blocks(batch, "text"):
-                lang, score = model.predict(data, bounds)
-                keep = [x != UNDETERMINED and s >= model.threshold for x, s in zip(lang, score.tolist(), strict=True)]
-                yield batch.slice(first, end - first).filter(pa.array(keep, pa.bool_()))
+                yield batch.slice(first, end - first).filter(pa.array(model.predict(data, bounds)[2], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = language_id.identify(docs, language_id.train(docs))
-    return found.select("doc_id", (language_id.fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", F.coalesce(language_id.fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

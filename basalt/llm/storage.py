@@ -9,7 +9,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -36,6 +37,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sample_limit(wanted: float, total: int) -> int:
+    """The limit for ``sampled`` under which about ``wanted`` of ``total`` different hashes lie, however many there are."""
+    return (1 << 63) - 1 if wanted >= total else int((1 << 63) * wanted / total)
+
+
+def sampled(seed: Column, limit: Column) -> Column:
+    """Whether a row's 64-bit hash falls under a limit, of 63 bits."""
+    return seed.bitwiseAND(F.lit((1 << 63) - 1)) <= limit
+
+
 #: Bounds of an Arrow batch that goes to Python: a task holds several at once, whatever the texts' lengths.
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 

@@ -60,6 +60,66 @@ def test_prediction_does_not_depend_on_the_batch(spark, model):
     assert model.predict(data, bounds)[1].tolist() == alone
 
 
+def brute_language(model, text):
+    """(language, score, kept) by plain loops over the words of one text."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0, False
+    low = re.sub("[À-ÖØ-Þ]", lambda m: m[0].lower(), re.sub("[A-Z]", lambda m: m[0].lower(), text)).encode()
+    words = [w for w in re.split(rb"[\x00-\x60\x7b-\x7f]+", low) if w]
+    found = []
+    for w in words:
+        own = np.frombuffer(w, np.uint8)
+        found.append(int(language_id.K.hash_words(own, np.array([0]), np.array([len(w)]))[0]) >> 49)
+        b = b" " + w + b" "
+        for i in range(len(b) - 2):
+            three = b[i] | b[i + 1] << 8 | b[i + 2] << 16
+            found.append(((three ^ 0x9E3779B9) * 0x85EBCA6B & 0xFFFFFFFF) >> 17)
+            if i + 3 < len(b):
+                four = three | b[i + 3] << 24
+                found.append(((four ^ four >> 15) * 0xC2B2AE35 & 0xFFFFFFFF) >> 17)
+    logits = model.table[found].sum(axis=0) / max(len(found), 1) / (1 << 20) + model.bias
+    e = np.exp((logits - logits.max()) / model.temperature)
+    chance = (e / e.sum())[: len(model.languages)]
+    k = int(chance.argmax())
+    level = sum(len(found) >= x for x in language_id.LENGTHS)
+    return model.languages[k], float(chance[k]), bool(chance.sum() >= model.thresholds[level])
+
+
+def test_language_is_that_of_plain_loops(spark, model, odd_docs):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(odd_docs.filter("doc_id <> 11").select("doc_id", "text"))
+    want = {(r["doc_id"], r["text"]): brute_language(model, r["text"]) for r in docs.collect()}
+    rows = language_id.identify(docs.withColumn("id", F.struct("doc_id", "text")), model, "id").collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        lang, score, kept = want[r["id"]["doc_id"], r["id"]["text"]]
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=1e-9) and r["rejected"] == (not kept)
+
+
+def test_noise_and_unknown_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text is not null")
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz     "
+    junk = spark.createDataFrame([(k, "".join(rng.choice(letters) for _ in range(rng.randint(60, 3000)))) for k in range(200)], "doc_id long, text string")
+    rejected = lambda found: found.agg(F.avg(F.col("rejected").cast("int"))).first()[0]
+    every = language_id.train(docs)
+    clean = language_id.identify(docs.filter(language_id.fold(F.col("doc_id")) == 2), every)
+    assert rejected(clean) <= 0.01 and rejected(language_id.identify(junk, every)) >= 0.99
+    without = language_id.train(docs.filter("lang <> 'es'"))
+    assert rejected(language_id.identify(docs.filter("lang = 'es' and length(text) > 400"), without)) >= 0.8
+    assert rejected(language_id.identify(docs.filter(language_id.fold(F.col("doc_id")) == 2).filter("lang <> 'es'"), without)) <= 0.01
+
+
+def test_samples_do_not_run_dry(spark):
+    from basalt.llm.storage import sample_limit, sampled
+
+    limit = sample_limit(3_000, 10**11)
+    assert 0.99 < limit / 2**63 * 10**11 / 3_000 < 1.01
+    assert sample_limit(5, 3) == 2**63 - 1
+    rows = spark.range(100_000).withColumn("seed", F.xxhash64("id"))
+    assert rows.filter(sampled(F.col("seed"), F.lit(sample_limit(1, 0)))).count() == 100_000
+    assert 800 < rows.filter(sampled(F.col("seed"), F.lit(sample_limit(1_000, 100_000)))).count() < 1_200
+
+
 def test_training_without_labels(no_docs):
     assert language_id.train(no_docs).languages == ("und",)
 
