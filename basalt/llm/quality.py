@@ -5,7 +5,8 @@ documents they reject per second.  Over the table a document leaves at its first
 order changes the cost and ``first_failed``, never the verdict.
 
 Defined results: null, empty and white-space texts have no words and fail ``few_words``; equal rows
-have equal results; an empty table gives no rows; other columns are ignored.
+have equal results; very long texts are measured whole; rules worth the same (a tie) run in their listed
+order; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .storage import ship_package
+from .storage import sample_limit, sampled, ship_package
 
 SYMBOLS = b"#*$%&|<>"
 REPEAT_WINDOW = 8
@@ -121,8 +122,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> dict[str, tuple[float, float]]:
     """Each rule's mean seconds and rejected share on a sample picked by a hash of the id."""
     ship_package(docs.sparkSession)
-    total = docs.count()
-    part = int(min(1.0, SAMPLE_DOCUMENTS / max(total, 1)) * 1_000_000)
+    limit = sample_limit(SAMPLE_DOCUMENTS, docs.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,8 +136,9 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> dict[str, tupl
             names, seconds, failed = ([r[k] for r in rows] for k in range(3))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(seconds, pa.float64()), pa.array(failed, pa.bool_())], ["rule", "s", "failed"])
 
-    picked = _texts(docs).filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part)
-    found = picked.mapInArrow(run, "rule string, s double, failed boolean").groupBy("rule")
+    seeded = _texts(docs).withColumn("seed", F.xxhash64("doc_id", F.octet_length("text")))
+    picked = seeded.filter(sampled(F.col("seed"), F.lit(limit))).dropDuplicates(["seed"])
+    found = picked.select("doc_id", "text").mapInArrow(run, "rule string, s double, failed boolean").groupBy("rule")
     return {r["rule"]: (r["s"], r["f"]) for r in found.agg(F.avg("s").alias("s"), F.avg(F.col("failed").cast("int")).alias("f")).collect()}
 
 
