@@ -5,9 +5,13 @@ Lengths are integers from 1 to ``capacity``, so the whole instance is a histogra
 counts, never pieces: it fixes dominating sets with their multiplicities, best-fits what is left, and
 ships back at most a few runs per length.  A piece finds its place from its length and rank.
 
-Defined results: a null text is empty; an empty text is its end id alone; equal rows are packed as
-separate pieces; ``doc_id`` may be null or repeat; an empty table gives no rows; other columns of the
-input are ignored, whatever their names.
+Pieces of one length are dealt out by a number of their own (``_deal``), never by their content, so that
+ranking stays in parts of about ``RANKED_TOGETHER`` also where one document repeats without end.
+
+Defined results: a null text is empty; an empty text is its end id alone; very long texts are encoded whole,
+then cut; equal rows are packed as separate pieces, and pieces of one length (a tie) may take each other's
+places; ``doc_id`` may be null or repeat; an empty table gives no rows; other columns of the input are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -188,13 +192,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` of 1 to ``capacity``.
 
     ``pieces`` should be a table that is read again alike (see ``materialize``), as it is counted
-    first and placed afterwards.
+    first and placed afterwards; a column ``_deal``, if there, numbers its rows and is left out of the result.
     """
     ship_package(pieces.sparkSession)
     counted = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = plan(counted, capacity)
-    schema = pieces.schema.simpleString().removeprefix("struct<").removesuffix(">")
-    columns = pieces.columns
+    columns = [c for c in pieces.columns if c != "_deal"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "_deal")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = (runs[:, 0] << 44) + runs[:, 1]
@@ -211,18 +215,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     salts = pieces.sparkSession.createDataFrame(
         [(x, math.ceil(n / RANKED_TOGETHER)) for x, n in counted.items()], "length long, _salts long"
     )
-    keyed = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), "_salts"))
+    deal = F.xxhash64("_deal") if "_deal" in pieces.columns else F.xxhash64("doc_id", "piece")
+    keyed = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(deal, "_salts"))
     sizes = keyed.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     bases = sizes.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_base"))
     within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = keyed.withColumn("_rank", F.row_number().over(within) - 1).join(bases, ["length", "_salt"])
     ranked = ranked.select(*columns, (F.col("_base") + F.col("_rank")).cast("long").alias("_rank"))
-    return ranked.mapInArrow(place, schema.replace(":", " ") + ", sequence_id long, offset long")
+    return ranked.mapInArrow(place, schema + ", sequence_id long, offset long")
 
 
 def pack_documents(
     docs: DataFrame, end_id: int = 1, capacity: int = CAPACITY, tokenizer: str | None = None, keep_ids: bool = False
 ) -> DataFrame:
     """Tokenize, cut and pack documents: one row per piece with its sequence and the offset in it."""
-    return pack(materialize(token_pieces(docs, end_id, capacity, tokenizer, keep_ids), "pieces"), capacity)
+    pieces = token_pieces(docs, end_id, capacity, tokenizer, keep_ids).withColumn("_deal", F.monotonically_increasing_id())
+    return pack(materialize(pieces, "pieces"), capacity)

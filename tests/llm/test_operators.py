@@ -604,6 +604,32 @@ def test_token_files_round_trip(spark, odd_docs, no_docs, tmp_path, monkeypatch)
     assert tokenfiles.read_token_files(spark, empty).count() == 0
 
 
+def test_hot_ids_fill_buckets(spark, monkeypatch):
+    """One id of a third of the rows is dealt out; order, starts and ids hold; the least integer is not a null."""
+    monkeypatch.setattr(tokenfiles, "BUCKET_BYTES", 100)
+    least = -(1 << 63)
+    rows = [(k, f"word {k}") for k in range(100)] + [(40, "hot one two")] * 60 + [(None, "no id")] * 30 + [(least, "least")]
+    files = tokenfiles.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = sorted(tokenfiles.read_token_files(spark, files).collect(), key=lambda r: r["start"])
+    order = [least if r["doc_id"] is None else r["doc_id"] for r in got]
+    assert order == sorted(order) and [r["doc_id"] for r in got].count(None) == 30 and order.count(40) == 61
+    assert all(b["start"] - a["start"] == a["n_tokens"] for a, b in zip(got, got[1:], strict=False))
+    held = spark.read.parquet(files.path).filter("first_doc = 40 and last_doc = 40")
+    assert held.select("bucket").distinct().count() > 1
+    for d in (least, 40, 99):
+        assert tokenfiles.read_document(spark, files, d) is not None
+
+
+def test_ids_that_do_not_fit_are_an_error(spark):
+    from pyspark.errors import PythonException
+
+    docs = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
+    with pytest.raises(PythonException, match="does not fit"):
+        tokenfiles.write_token_files(docs, id_bytes=1)
+    files = tokenfiles.write_token_files(docs, id_bytes=4, end_id=70_000)
+    assert np.frombuffer(tokenfiles.read_token_files(spark, files).first()["ids"], "<u4")[-1] == 70_000
+
+
 # 10 sharding -------------------------------------------------------------------------------------
 
 
@@ -631,9 +657,61 @@ def test_shards(odd_docs, no_docs, monkeypatch, tmp_path, spark):
     want = sorted((-1 if r["doc_id"] is None else r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in odd_docs.collect())
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == want
     assert sharding.hilbert_shards(no_docs).count() == 0
-    plain = odd_docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
-    sharding.write_shards(plain, str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).count() == plain.count()
+    sharding.write_shards(odd_docs, str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s")).count() == odd_docs.count()
+
+
+def gray_walk(dimensions, bits):
+    """Where a point lies on the curve, on plain integers, one point and one bit at a time."""
+
+    def index(point):
+        x, m = list(point), 1 << (bits - 1)
+        q = m
+        while q > 1:
+            for i in range(dimensions):
+                if x[i] & q:
+                    x[0] ^= q - 1
+                else:
+                    t = (x[0] ^ x[i]) & (q - 1)
+                    x[0], x[i] = x[0] ^ t, x[i] ^ t
+            q //= 2
+        for i in range(1, dimensions):
+            x[i] ^= x[i - 1]
+        t, q = 0, m
+        while q > 1:
+            t ^= (q - 1) if x[-1] & q else 0
+            q //= 2
+        word = "".join(str((v ^ t) >> b & 1) for b in reversed(range(bits)) for v in x)
+        return int(word, 2)
+
+    return index
+
+
+@pytest.mark.parametrize("dimensions", [("lang", "source", "n_chars"), ("n_chars",), ("lang", "source", "n_chars", "key", "doc_id")])
+def test_places_are_those_of_plain_loops(spark, odd_docs, dimensions):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("key", F.col("doc_id") % 7)
+    docs = docs.unionByName(odd_docs.select("doc_id", "text", "lang", "source", "n_chars", F.col("key").cast("long").alias("key")))
+    held = [r.asDict() for r in docs.collect()]
+    bits = min(sharding.LEAST_BITS // len(dimensions), sharding.SIDE_BITS)
+    index, points = gray_walk(len(dimensions), bits), [[] for _ in held]
+    for d in dimensions:
+        own = [r[d] for r in held]
+        if any(isinstance(v, str) for v in own):
+            known = sorted(v.encode() for v in own if v is not None)
+            skip = next((i for i, (a, b) in enumerate(zip(known[0], known[-1], strict=False)) if a != b), min(len(known[0]), len(known[-1])))
+            own = [None if v is None else int((v.encode()[skip : skip + 7].hex() + "0" * 14)[:14], 16) for v in own]
+        known = sorted(v for v in own if v is not None)
+        cuts = {known[max(-(-k * len(known) // (1 << bits)) - 1, 0)] for k in range(1, 1 << bits)}
+        for p, v in zip(points, own, strict=True):
+            p.append(0 if v is None else sum(v > c for c in cuts))
+    crc = lambda r: zlib.crc32((r["text"] or "").encode())
+    want = sorted((r["doc_id"] or -1, crc(r), index(p)) for r, p in zip(held, points, strict=True))
+    rows = sharding.hilbert_shards(docs, 8, dimensions).collect()
+    assert sorted((r["doc_id"] or -1, r["text_crc32"], r["curve"]) for r in rows) == want
+    order = sorted(rows, key=lambda r: (r["shard"], r["slot"]))
+    assert [r["curve"] for r in order] == sorted(r["curve"] for r in rows)  # runs of the curve
+    n = len(rows)
+    assert [(r["shard"], r["slot"]) for r in order] == [(k * 8 // n, k - -(-(k * 8 // n) * n // 8)) for k in range(n)]
 
 
 def test_shards_on_disk_hold_every_row(odd_docs, tmp_path, spark):
@@ -646,3 +724,12 @@ def test_shards_on_disk_hold_every_row(odd_docs, tmp_path, spark):
     assert sorted((r["shard"], r["doc_id"] or -1) for r in back.select("shard", "doc_id").collect()) == want
     with pytest.raises(ValueError):
         sharding.write_shards(odd_docs.withColumn("shard", F.lit(1)), str(tmp_path / "t"))
+
+
+def test_one_row_without_end(spark):
+    """Copies of one row, without an id, are ranked in parts: no part holds more than a few thousand of 60,000."""
+    docs = spark.range(60_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(3).alias("n_chars"))
+    rows = sharding.hilbert_shards(docs).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert {(r["n"], r["d"], r["m"]) for r in rows} == {(7500, 7500, 7499)}
+    packed = packing.pack_documents(docs)
+    assert packed.select("sequence_id", "offset").distinct().count() == 60_000 and packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
