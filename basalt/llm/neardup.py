@@ -7,19 +7,25 @@
 3. Sets that share a band key meet in a bucket.  There, pairs of different classes whose sketches are
    near enough are confirmed on the full sets; a bucket gives a spanning forest of its links, never all
    pairs.  The first bands join most near copies; later bands only open buckets that still hold two classes.
-4. A bucket of over ``BUCKET`` sets is cut into chunks that all hold the bucket's first set; what is
-   still outside the bucket's largest class then queries all chunks, so no link is lost.
+4. A bucket of over ``BUCKET`` sets is first cut into chunks that all hold the bucket's first set.  What is
+   then outside the bucket's largest class asks all of the bucket, block against block: a task holds at most
+   about ``BUCKET`` askers and ``BUCKET`` others, of sizes that can be alike.  A first round compares sketches
+   alone; only sets with a partner near enough by sketch bring their full sets to a second one.  So no link
+   is lost, no task grows with the bucket, and what clouds of unlike sets cost is sketches.
 5. Links become components by alternating large-star and small-star steps on written tables.
 
 With 24 bands of 5 rows a pair shares no band with probability 8e-7 at similarity 0.85, 7e-5 at 0.80.
+Sets are told apart by a 128-bit digest of their sorted shingle hashes, shingles by 64-bit hashes.
 
 Defined results: documents without words (null, empty, white space) have an empty set, are linked with
-nothing and are their own component; equal rows share all values; rows without an id are kept; other
-columns are ignored.
+nothing and are their own component; very long texts give their whole set; equal rows share all values; of a
+class (a tie) the smallest id is kept, and rows without an id are all kept; an empty table gives no rows; other columns are
+ignored, but pass through ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -64,9 +70,7 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
 
 def fingerprint(own: np.ndarray) -> bytes:
     """128 bits that tell sets apart."""
-    a = np.bitwise_xor.reduce(K.mix(own + np.uint64(0x51ED270B7A2C4D1B)))
-    b = int(own.sum(dtype=np.uint64)) * 0xD6E8FEB86659FD93 + len(own)
-    return a.tobytes() + (b % (1 << 64)).to_bytes(8, "little")
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
 def samples(own: np.ndarray) -> np.ndarray:
@@ -184,6 +188,21 @@ def link_bucket(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def near_by_sketch(table: pa.Table, percent: int) -> pa.Table:
+    """The nodes of one block (node, class, asks, size, sketch) that an asker of another class may be alike to, and these askers."""
+    group, size, asks = (table[c].to_numpy(zero_copy_only=False) for c in ("class", "size", "asks"))
+    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint64).reshape(len(group), -1)
+    found = np.zeros(len(group), dtype=bool)
+    most = 2 * most_differing(percent)
+    for i in np.flatnonzero(asks):
+        others = np.flatnonzero((group != group[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
+        near = others[np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1) <= most]
+        found[near] = True
+        found[i] |= len(near) > 0
+    rows = table.filter(pa.array(found))
+    return pa.table({c: rows[c] for c in ("band", "key", "node")})
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, class (least node of its component) of all nodes with a link, by large-star and small-star steps."""
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
@@ -224,6 +243,40 @@ def _with_classes(members: DataFrame, classes: DataFrame | None) -> DataFrame:
     return members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
 
 
+def _in_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (band, key, node, size, asks and others) dealt to blocks (band, key, chunk) in which askers meet all that can be alike.
+
+    Sizes fall into cells so that alike sets lie in one cell or in neighbours; askers and others of a cell are each
+    dealt to parts of about ``BUCKET``, and every part of askers meets every part of others of the cells around.
+    """
+    # a little wide, so that rounding never puts alike sizes two cells apart
+    cell = F.floor(F.log("size") / float(1.0001 * np.log(100 / percent))).cast("int") if percent < 100 else F.col("size").cast("int")
+    celled = rows.withColumn("_cell", cell)
+    parts = lambda n: F.ceil(n / BUCKET).cast("long")
+    cells = celled.groupBy("band", "key", "_cell").agg(parts(F.count("*")).alias("_others"), parts(F.sum(F.col("asks").cast("long"))).alias("_askers"))
+    beside = F.explode(F.array(*[F.col("_cell") + d for d in (-1, 0, 1)]))
+    here = ["band", "key", "_cell"]
+
+    def meeting(own: DataFrame, mine: str, theirs: str, asks: bool) -> DataFrame:
+        numbered = own.join(cells.select(*here, F.col(mine).alias("_n")), here).withColumn("_i", F.pmod(F.xxhash64("node"), "_n")).drop("_n")
+        there = cells.filter(F.col(theirs) > 0).select("band", "key", F.col("_cell").alias("_there"), F.col(theirs).alias("_m"))
+        met = numbered.withColumn("_there", beside).join(there, ["band", "key", "_there"])
+        met = met.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)))
+        side = [F.col(c) for c in (("_cell", "_i", "_there", "_j") if asks else ("_there", "_j", "_cell", "_i"))]
+        return met.select(*rows.drop("asks").columns, F.lit(asks).alias("asks"), F.xxhash64(*side).alias("chunk"))
+
+    askers = meeting(celled.filter("asks"), "_askers", "_others", True)
+    return askers.unionByName(meeting(celled, "_others", "_askers", False))
+
+
+def _asked(large: DataFrame, sketches: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of oversized buckets that are alike, by sketch, to a member of another class, with what asks."""
+    now = _with_classes(large, classes)
+    per = now.groupBy("band", "key", "class").agg(F.count("*").alias("c"))
+    main = per.groupBy("band", "key").agg(F.max_by("class", F.struct("c", "class")).alias("main"))
+    return now.join(main, ["band", "key"]).withColumn("asks", F.col("class") != F.col("main")).drop("main").join(sketches, "fp")
+
+
 def _confirmed(members: DataFrame, sets: DataFrame, classes: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame]:
     """All links so far found within the buckets of ``members``, and the classes they make with ``classes``."""
     known = _with_classes(members, classes)
@@ -238,18 +291,18 @@ def _confirmed(members: DataFrame, sets: DataFrame, classes: DataFrame | None, p
     old = None if classes is None else classes.filter("node <> class").select(F.col("node").alias("a"), F.col("class").alias("b"))
     all_links = lambda x: x if old is None else x.unionByName(old)
     made = components(all_links(found))
-    large = live.filter(F.col("n") > BUCKET).drop("class")
+    large = live.filter(F.col("n") > BUCKET).select("band", "key", "node", "fp", "size")
     if large.isEmpty():
         return found, made
-    # what is outside the largest class of an oversized bucket asks all its chunks
-    now = _with_classes(large, made)
-    per = now.groupBy("band", "key", "class").agg(F.count("*").alias("c"))
-    main = per.groupBy("band", "key").agg(F.max_by("class", F.struct("c", "class")).alias("main"))
-    now = now.join(main, ["band", "key"]).withColumn("asks", F.col("class") != F.col("main"))
-    spread = now.filter("asks").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks.cast("long") - 1)))
-    stay = now.filter("not asks").withColumn("chunk", F.pmod(F.xxhash64("node"), chunks))
-    rows = spread.select(*columns, "asks").unionByName(stay.select(*columns, "asks"))
-    late = materialize(found.unionByName(_in_buckets(rows, sets, percent)), "links")
+
+    def near(table: pa.Table) -> pa.Table:
+        return near_by_sketch(table, percent)
+
+    asked = materialize(_asked(large, sets.select("fp", "sketch"), made), "asked")
+    blocks = _in_blocks(asked.drop("fp"), percent).groupBy("band", "key", "chunk")
+    alike = materialize(blocks.applyInArrow(near, "band int, key long, node long").distinct(), "alike")
+    left = asked.drop("sketch").join(alike, ["band", "key", "node"])
+    late = materialize(found.unionByName(_in_buckets(_in_blocks(left, percent).select(*columns, "asks"), sets, percent)), "links")
     return late, components(all_links(late))
 
 
@@ -257,10 +310,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     signed = materialize(signatures(docs), "signatures")
     sets_of = signed.filter("fp is not null").groupBy("fp")
-    distinct = materialize(sets_of.agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).filter("node is not null"), "distinct")
-    keys = distinct.select("node", "fp", F.posexplode("bands").alias("band", "key"))
+    distinct = materialize(sets_of.agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size")).filter("node is not null"), "distinct")
+    keys = distinct.select("node", "fp", "size", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = materialize(keys.join(shared.drop("n"), ["band", "key"]).select("band", "key", "node", "fp"), "members")
+    members = materialize(keys.join(shared.drop("n"), ["band", "key"]).select("band", "key", "node", "fp", "size"), "members")
     wanted = members.select(F.col("node").alias("doc_id"), "fp").distinct()
     texts = _semi(docs.select("doc_id", "text"), materialize(wanted.select("doc_id").distinct(), "wanted"))
     own = full_sets(texts).dropDuplicates(["fp"]).join(distinct.select("fp", "sketch"), "fp")

@@ -453,6 +453,37 @@ def test_near_duplicate_classes(spark, monkeypatch):
     assert read() == want
 
 
+def test_blocks_of_a_hot_bucket_stay_small(spark, monkeypatch):
+    """Every asker meets every set of a size that can be alike; no block grows with the bucket."""
+    monkeypatch.setattr(neardup, "BUCKET", 50)
+    rng = random.Random(4)
+    rows = [(0, 7, k, rng.choice([3, 60, 61, 75, 100, 400, 401, 470]), k % 3 > 0) for k in range(3000)] + [(1, 7, k, 50, k == 0) for k in range(200)]
+    df = spark.createDataFrame(rows, "band int, key long, node long, size long, asks boolean")
+    blocks = {}
+    for r in neardup._in_blocks(df, 80).collect():
+        blocks.setdefault((r["band"], r["chunk"]), []).append(r)
+    assert max(map(len, blocks.values())) < 4 * 50
+    met = {(b, x["node"], y["node"]) for (b, _), own in blocks.items() for x in own if x["asks"] for y in own if not y["asks"]}
+    size = {(r[0], r[2]): r[3] for r in rows}
+    for b, _, x, n, asks in rows:
+        if asks and x % 50 == 0:
+            assert all((b, x, y) in met for (c, y), m in size.items() if c == b and 100 * min(n, m) >= 80 * max(n, m))
+
+
+def test_links_of_similarity_080_are_found(spark):
+    rng = random.Random(21)
+    rows, alike = [], 0
+    for k in range(400):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(rng.randint(60, 400))]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, edited(rng, words, max(1, round(len(words) * rng.uniform(0.015, 0.025)))))]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect())
+    want = []
+    for k in range(400):
+        want += brute_classes(rows[2 * k : 2 * k + 2], 80)
+        alike += want[-1][2] == 2 * k
+    assert 100 < alike < 390 and got == sorted(want)
+
+
 def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(odd_docs).collect()]
     by = {d: (n, c, k) for d, n, c, k in got if d not in (None, 11)}
