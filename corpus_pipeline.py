@@ -1,7 +1,10 @@
 """The corpus pipeline: language, near copies, benchmark passages, personal data, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last
-return the columns of ``documents``.
+return the columns of ``documents``, unchanged but for what the stage decides.
+
+Defined results, for every stage: an empty table gives an empty one; other columns pass through unread,
+whatever their names (the last stage ignores them); very long texts are read whole; nulls in any column are kept as they are.
 """
 
 from __future__ import annotations
@@ -13,27 +16,44 @@ from basalt.llm.storage import materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language is rejected."""
+    """Drop documents whose language is rejected.
+
+    Null and empty texts and texts without a letter have no language and go; so do noise and languages that
+    nobody labelled; equal rows are judged alike. Without labelled rows all texts with a letter stay.
+    """
     return language_id.keep_identified(docs, language_id.train(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of five-word shingle sets that are alike to 0.8 or more."""
+    """Keep one document of each class of five-word shingle sets that are alike to 0.8 or more.
+
+    The smallest ``doc_id`` of a class stays, once where its row repeats; documents without words are alike to
+    nothing and rows without an id all stay.
+    """
     return neardup.drop_near_duplicates(docs, percent=80)
 
 
 def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut out benchmark passages; drop documents that are mostly such."""
+    """Cut out benchmark passages; drop documents that are mostly such.
+
+    Null and empty texts hold no passage; ``n_chars`` follows the text; an empty benchmark changes nothing.
+    """
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put surrogates for personal data and secrets."""
+    """Put surrogates for personal data and secrets.
+
+    Null texts stay null; equal entities have equal surrogates in all rows; ``n_chars`` follows the text.
+    """
     return pii.replace_entities(docs).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place the documents' token pieces, with their ids, in training sequences."""
+    """Place the documents' token pieces, with their ids, in training sequences.
+
+    A null or empty text is its end id; repeated rows are packed as often as they stand there.
+    """
     return packing.pack_documents(docs, keep_ids=True)
 
 
