@@ -7,7 +7,7 @@
 3. Sets that share a band key meet in a bucket.  There, pairs of different classes whose sketches are
    near enough are confirmed on the full sets; a bucket gives a spanning forest of its links, never all
    pairs.  The first bands join most near copies; later bands only open buckets that still hold two classes.
-4. A bucket of over ``BUCKET`` sets is first cut into chunks that all hold the bucket's first set.  What is
+4. A bucket of over ``BUCKET`` sets (or ``BUCKET_HASHES`` hashes in them) is first cut into chunks that all hold the bucket's first set.  What is
    then outside the bucket's largest class asks all of the bucket, block against block: a task holds at most
    about ``BUCKET`` askers and ``BUCKET`` others, of sizes that can be alike.  A first round compares sketches
    alone; only sets with a partner near enough by sketch bring their full sets to a second one.  So no link
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -42,7 +42,8 @@ BANDS, ROWS = 24, 5
 HASHES = BANDS * ROWS
 FIRST_BANDS = 6
 SKETCH_BITS = 1024
-BUCKET = 2048
+#: Sets, and shingle hashes in them, that one task holds against each other, about.
+BUCKET, BUCKET_HASHES = 2048, 1 << 21
 #: Ids that may be broadcast (16 MB); beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
 
@@ -153,17 +154,30 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, "fp binary, hashes binary")
 
 
+def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Binary values as 64-bit words, where they lie."""
+    out = []
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        at = np.frombuffer(offsets, dtype=np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        words = np.frombuffer(data, dtype=np.uint64, count=int(at[-1]) // 8) if data is not None else np.zeros(0, dtype=np.uint64)
+        out += [words[a:b] for a, b in zip((at[:-1] // 8).tolist(), (at[1:] // 8).tolist(), strict=True)]
+    return out
+
+
 def link_bucket(table: pa.Table, percent: int) -> pa.Table:
     """A spanning forest of the confirmed links between the classes in one bucket.
 
     Rows: node, class, asks, sketch, hashes.  Only pairs with a row that asks are held against each other.
     """
-    table = table.sort_by("node")
     node = table["node"].to_numpy()
-    _, group = np.unique(table["class"].to_numpy(), return_inverse=True)
-    asks = table["asks"].to_numpy(zero_copy_only=False)
-    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint64).reshape(len(node), -1)
-    sets = [np.frombuffer(x, dtype=np.uint64) for x in table["hashes"].to_pylist()]
+    order = np.argsort(node, kind="stable")
+    node = node[order]
+    _, group = np.unique(table["class"].to_numpy()[order], return_inverse=True)
+    asks = table["asks"].to_numpy(zero_copy_only=False)[order]
+    sketches, hashes = _views(table["sketch"]), _views(table["hashes"])
+    sketch = np.stack([sketches[i] for i in order])
+    sets = [hashes[i] for i in order]
     size = np.array([len(x) for x in sets])
     links: list[tuple[int, int]] = []
     most = 2 * most_differing(percent)
@@ -191,7 +205,7 @@ def link_bucket(table: pa.Table, percent: int) -> pa.Table:
 def near_by_sketch(table: pa.Table, percent: int) -> pa.Table:
     """The nodes of one block (node, class, asks, size, sketch) that an asker of another class may be alike to, and these askers."""
     group, size, asks = (table[c].to_numpy(zero_copy_only=False) for c in ("class", "size", "asks"))
-    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint64).reshape(len(group), -1)
+    sketch = np.stack(_views(table["sketch"]))
     found = np.zeros(len(group), dtype=bool)
     most = 2 * most_differing(percent)
     for i in np.flatnonzero(asks):
@@ -243,6 +257,11 @@ def _with_classes(members: DataFrame, classes: DataFrame | None) -> DataFrame:
     return members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
 
 
+def _parts(n: Column, hashes: Column) -> Column:
+    """Into how many parts so many sets with so many hashes go."""
+    return F.greatest(F.ceil(n / BUCKET), F.ceil(hashes / BUCKET_HASHES)).cast("long")
+
+
 def _in_blocks(rows: DataFrame, percent: int) -> DataFrame:
     """Rows (band, key, node, size, asks and others) dealt to blocks (band, key, chunk) in which askers meet all that can be alike.
 
@@ -252,8 +271,10 @@ def _in_blocks(rows: DataFrame, percent: int) -> DataFrame:
     # a little wide, so that rounding never puts alike sizes two cells apart
     cell = F.floor(F.log("size") / float(1.0001 * np.log(100 / percent))).cast("int") if percent < 100 else F.col("size").cast("int")
     celled = rows.withColumn("_cell", cell)
-    parts = lambda n: F.ceil(n / BUCKET).cast("long")
-    cells = celled.groupBy("band", "key", "_cell").agg(parts(F.count("*")).alias("_others"), parts(F.sum(F.col("asks").cast("long"))).alias("_askers"))
+    asking = F.col("asks").cast("long")
+    cells = celled.groupBy("band", "key", "_cell").agg(
+        _parts(F.count("*"), F.sum("size")).alias("_others"), _parts(F.sum(asking), F.sum(asking * F.col("size"))).alias("_askers")
+    )
     beside = F.explode(F.array(*[F.col("_cell") + d for d in (-1, 0, 1)]))
     here = ["band", "key", "_cell"]
 
@@ -280,18 +301,18 @@ def _asked(large: DataFrame, sketches: DataFrame, classes: DataFrame) -> DataFra
 def _confirmed(members: DataFrame, sets: DataFrame, classes: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame]:
     """All links so far found within the buckets of ``members``, and the classes they make with ``classes``."""
     known = _with_classes(members, classes)
-    two = known.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("class").alias("x"), F.max("class").alias("y"), F.min("node").alias("first"))
-    live = known.join(two.filter("x <> y").select("band", "key", "n", "first"), ["band", "key"])
-    chunks = F.ceil(F.col("n") / BUCKET)
+    two = known.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("class").alias("x"), F.max("class").alias("y"), F.min("node").alias("first"), _parts(F.count("*"), F.sum("size")).alias("parts"))
+    live = known.join(two.filter("x <> y").select("band", "key", "parts", "first"), ["band", "key"])
+    chunks = F.col("parts")
     dealt = live.withColumn("chunk", F.when(chunks > 1, F.pmod(F.xxhash64("node"), chunks)).otherwise(F.lit(0).cast("long")))
-    head = live.filter((F.col("n") > BUCKET) & (F.col("node") == F.col("first"))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks.cast("long") - 1)))
+    head = live.filter((chunks > 1) & (F.col("node") == F.col("first"))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks.cast("long") - 1)))
     columns = ["band", "key", "chunk", "node", "fp", "class"]
     rows = dealt.select(columns).unionByName(head.select(columns)).distinct().withColumn("asks", F.lit(True))
-    found = materialize(_in_buckets(rows, sets, percent), "links")
+    found = materialize(_in_buckets(rows, sets, percent).distinct(), "links")
     old = None if classes is None else classes.filter("node <> class").select(F.col("node").alias("a"), F.col("class").alias("b"))
     all_links = lambda x: x if old is None else x.unionByName(old)
     made = components(all_links(found))
-    large = live.filter(F.col("n") > BUCKET).select("band", "key", "node", "fp", "size")
+    large = live.filter(chunks > 1).select("band", "key", "node", "fp", "size")
     if large.isEmpty():
         return found, made
 
@@ -302,7 +323,7 @@ def _confirmed(members: DataFrame, sets: DataFrame, classes: DataFrame | None, p
     blocks = _in_blocks(asked.drop("fp"), percent).groupBy("band", "key", "chunk")
     alike = materialize(blocks.applyInArrow(near, "band int, key long, node long").distinct(), "alike")
     left = asked.drop("sketch").join(alike, ["band", "key", "node"])
-    late = materialize(found.unionByName(_in_buckets(_in_blocks(left, percent).select(*columns, "asks"), sets, percent)), "links")
+    late = materialize(found.unionByName(_in_buckets(_in_blocks(left, percent).select(*columns, "asks"), sets, percent)).distinct(), "links")
     return late, components(all_links(late))
 
 
@@ -313,7 +334,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     distinct = materialize(sets_of.agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size")).filter("node is not null"), "distinct")
     keys = distinct.select("node", "fp", "size", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = materialize(keys.join(shared.drop("n"), ["band", "key"]).select("band", "key", "node", "fp", "size"), "members")
+    members = materialize(keys.join(shared.drop("n"), ["band", "key"]).select("band", "key", "node", "fp", "size").hint("rebalance"), "members")
     wanted = members.select(F.col("node").alias("doc_id"), "fp").distinct()
     texts = _semi(docs.select("doc_id", "text"), materialize(wanted.select("doc_id").distinct(), "wanted"))
     own = full_sets(texts).dropDuplicates(["fp"]).join(distinct.select("fp", "sketch"), "fp")
