@@ -214,8 +214,8 @@ def read_token_files(spark: SparkSession, files: TokenFiles) -> DataFrame:
     table = _shards(spark, files)
     totals = table.groupBy("bucket").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    bases = totals.select("bucket", F.coalesce(before, F.lit(0)).alias("base"))  # a row for each bucket of the writer
-    opened = table.join(bases, "bucket").select((F.col("base") + F.col("first_token")).alias("first_token"), "blob")
+    bases = totals.select("bucket", F.coalesce(before, F.lit(0)).alias("base"))  # a row for each bucket: at most ``MOST_BUCKETS``
+    opened = table.join(F.broadcast(bases), "bucket").select((F.col("base") + F.col("first_token")).alias("first_token"), "blob")
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
