@@ -37,7 +37,7 @@ DIMENSIONS = 16
 #: Labelled rows that are learned from, about; each gives ``PIECES`` runs of 1 to ``PIECE_WORDS`` of its words.
 SAMPLE_ROWS = 3_000
 PIECES = 4
-PIECE_WORDS = 400
+PIECE_WORDS = 256
 EPOCHS = 6
 #: Lengths (features) at which the next class of texts begins; each class has a rejection threshold of its own.
 LENGTHS = (24, 96, 384)
@@ -191,19 +191,19 @@ def _examples(docs: DataFrame, sample_rows: int) -> list[Example]:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([None if noise else lang for noise, _ in found], pa.string())]
                         + [pa.array([x] * len(found), pa.int64()) for x in (f, seed)]
-                        + [pa.array([c[k].astype("<i4").tobytes() for _, c in found], pa.binary()) for k in (0, 1)],
+                        + [pa.array([np.minimum(c[k], 65_535).astype("<u2").tobytes() for _, c in found], pa.binary()) for k in (0, 1)],
                         ["lang", "fold", "seed", "buckets", "counts"],
                     )
 
-    rows = picked.select("lang", "fold", "seed", "text").mapInArrow(run, "lang string, fold long, seed long, buckets binary, counts binary").collect()
-    read = lambda x: np.frombuffer(bytes(x), dtype="<i4")
+    pieces = picked.select("lang", "fold", "seed", "text").mapInArrow(run, "lang string, fold long, seed long, buckets binary, counts binary")
+    rows = pieces.toArrow().sort_by("seed")  # a text's pieces stay in their order
     out, rng = [], np.random.default_rng(11)
-    for r in sorted(rows, key=lambda r: (r["seed"], bytes(r["buckets"]))):
-        own = Example(r["lang"], r["fold"] == 3, read(r["buckets"]), read(r["counts"]))
+    for lang, f, buckets, counts in zip(*(rows[c] for c in ("lang", "fold", "buckets", "counts")), strict=True):
+        own = Example(lang.as_py(), f.as_py() == 3, np.frombuffer(buckets.as_py(), dtype="<u2"), np.frombuffer(counts.as_py(), dtype="<u2"))
         out.append(own)
-        if r["lang"] is None:
+        if own.lang is None:
             made = np.unique(rng.integers(0, BUCKETS, max(int(own.counts.sum()), 1)), return_counts=True)
-            out.append(Example(None, own.calibrates, *made))
+            out.append(Example(None, own.calibrates, *(x.astype("<u2") for x in made)))
     return out
 
 
@@ -227,7 +227,7 @@ def fit(examples: list[Example]) -> LanguageModel:
         order = rng.permutation(len(learn))
         for a in range(0, len(order), 64):
             batch = [learn[i] for i in order[a : a + 64]]
-            buckets = np.concatenate([e.buckets for e in batch])
+            buckets = np.concatenate([e.buckets for e in batch]).astype(np.int64)
             share = np.concatenate([e.counts / e.counts.sum() for e in batch]).astype(np.float32)
             at = np.cumsum([0, *(len(e.buckets) for e in batch[:-1])])
             mean = np.add.reduceat(table[buckets] * share[:, None], at, axis=0)
