@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,12 @@ STOP_WORDS = ("の", "に", "は", "を", "た", "が", "で", "て", "と", "
 _SCRIPTS = r"[一-鿿㐀-䶿]+|[぀-ゟ]+|[゠-ヿ]+|[\p{L}\p{N}&&[^一-鿿㐀-䶿぀-ヿ]]+"
 
 
+#: What is no part of a token: white space and ASCII punctuation.
+DROPPED = " \t\n\x0b\f\r" + string.punctuation
+
+
 def _plain(text) -> Column:
-    return F.lower(F.regexp_replace(_col(text), r"[\s\p{Punct}]", ""))
+    return F.translate(F.lower(_col(text)), DROPPED, "")
 
 
 def bigrams(text) -> Column:
@@ -28,9 +34,9 @@ def bigrams(text) -> Column:
 def ft_search(text, query) -> Column:
     """True if the query has tokens and the text has them all."""
     q = bigrams(query if isinstance(query, Column) else F.lit(query))
-    plain = _plain(text)
-    # a text has a pair of characters as a token if it contains it: no list of its tokens is built
-    return (F.size(q) > 0) & F.forall(q, lambda t: F.when(F.char_length(t) == 1, plain == t).otherwise(F.contains(plain, t)))
+    # a text has a pair of characters as a token if it contains it: no list of its tokens is built, and it is lower-cased once
+    held = lambda plain: F.forall(q, lambda t: F.when(F.char_length(t) == 1, plain == t).otherwise(F.contains(plain, t)))
+    return (F.size(q) > 0) & F.transform(F.array(_plain(text)), held)[0]
 
 
 def script_words(text) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -13,14 +14,21 @@ class RecursionLimit(RuntimeError):
     """More rounds than allowed; the result would be incomplete."""
 
 
-def round_table(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder of ``spark.checkpoint.dir``, or a temporary one where it is unset."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset and all runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="basalt-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/rounds/{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def round_table(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder."""
+    spark: SparkSession = df.sparkSession
+    path = f"{shared_folder(spark)}/rounds/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -241,8 +241,7 @@ class _Run:
             return
         used = self.fresh("used")
         along = self.fresh("along")
-        edge_type = f"array<struct<{','.join(f'{k}:{t}' for k, t in self.graph.edges.dtypes)}>>"
-        self.rows = self.rows.withColumn(used, F.array().cast(edge_type))
+        self.rows = self.rows.withColumn(used, F.array().cast(self._edge_type()))
         self.rows = self.rows.withColumn(along, F.array(F.col(f"`{first}`")))
         at = first
         for edge, node in zip(path.edges, path.nodes[1:], strict=True):
@@ -304,7 +303,7 @@ class _Run:
         self._arrive(node, target, along)
 
     def _shortest(self, path: PathPattern, first: str) -> None:
-        """Breadth-first from each start: the first match of the target, the least node among equals."""
+        """Breadth-first: for each start the nearest match of the target, the least node among equals."""
         edge, node = path.edges[0], path.nodes[1]
         target = node.var or self.fresh("n")
         goal = self._scan(node).select(F.col("id").alias("_goal"))
@@ -312,29 +311,11 @@ class _Run:
             goal = self.rows.select(F.col(f"`{target}`.id").alias("_goal")).distinct()
         edges = self._edges(edge)
         starts = self.rows.select(F.col(f"`{first}`.id").alias("_s")).distinct()
-        pairs = self.rows.select(F.col(f"`{first}`.id").alias("_s"), F.col(f"`{target}`.id").alias("_goal")).distinct() if target in self.kinds else None
-        edge_type = f"array<struct<{','.join(f'{k}:{t}' for k, t in self.graph.edges.dtypes)}>>"
-        frontier = seen = round_table(starts.select("_s", F.col("_s").alias("_n"), F.array().cast(edge_type).alias("_p")))
-        results = None
-        while True:
-            step = frontier.join(edges, F.col("_n") == F.col("_from")).select("_s", F.col("_to").alias("_n"), F.concat("_p", F.array("_e")).alias("_p"))
-            w = Window.partitionBy("_s", "_n").orderBy(F.transform("_p", lambda x: x["id"]))
-            step = step.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-            frontier = round_table(step.join(seen.select("_s", "_n"), ["_s", "_n"], "left_anti"))
-            if frontier.isEmpty():
-                break
-            seen = seen.select("_s", "_n").unionByName(frontier.select("_s", "_n"))
-            hit = frontier.withColumnRenamed("_n", "_goal")
-            hit = hit.join(pairs, ["_s", "_goal"], "left_semi") if pairs is not None else hit.join(goal, "_goal", "left_semi").select("_s", "_goal", "_p")
-            hit = hit.select("_s", "_goal", "_p")
-            results = hit if results is None else results.unionByName(hit)
-            if pairs is None:  # starts that have arrived are done
-                frontier = frontier.join(hit.select("_s").distinct(), "_s", "left_anti")
-        if results is None:
-            results = seen.select("_s", F.col("_n").alias("_goal"), "_p").filter(F.lit(False)) if "_p" in seen.columns else frontier.select("_s", F.col("_n").alias("_goal"), "_p")
-        if pairs is None:
-            w = Window.partitionBy("_s").orderBy(F.size("_p"), "_goal")
-            results = results.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+        if target in self.kinds:
+            pairs = self.rows.select(F.col(f"`{first}`.id").alias("_s"), F.col(f"`{target}`.id").alias("_goal")).distinct()
+            results = self._from_starts(starts, pairs, edges)
+        else:
+            results = self._from_goals(starts, goal, edges)
         on = F.col(f"`{first}`.id") == F.col("_s")
         self.rows = self.rows.join(results, on & (F.col(f"`{target}`.id") == F.col("_goal")) if target in self.kinds else on)
         if target not in self.kinds:
@@ -348,6 +329,45 @@ class _Run:
             self._path_with_nodes(path.var, first)
         self.rows = self.rows.drop("_s", "_goal", "_p")
 
+    def _edge_type(self) -> str:
+        return f"array<struct<{','.join(f'{k}:{t}' for k, t in self.graph.edges.dtypes)}>>"
+
+    def _from_starts(self, starts: DataFrame, pairs: DataFrame, edges: DataFrame) -> DataFrame:
+        """_s, _goal, _p of wanted pairs: from each start of its own."""
+        frontier = seen = round_table(starts.select("_s", F.col("_s").alias("_n"), F.array().cast(self._edge_type()).alias("_p")))
+        results = frontier.select("_s", F.col("_n").alias("_goal"), "_p").filter(F.lit(False))
+        while True:
+            step = frontier.join(edges, F.col("_n") == F.col("_from")).select("_s", F.col("_to").alias("_n"), F.concat("_p", F.array("_e")).alias("_p"))
+            w = Window.partitionBy("_s", "_n").orderBy(F.transform("_p", lambda x: x["id"]))
+            step = step.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+            frontier = round_table(step.join(seen.select("_s", "_n"), ["_s", "_n"], "left_anti"))
+            if frontier.isEmpty():
+                return results
+            seen = seen.select("_s", "_n").unionByName(frontier.select("_s", "_n"))
+            hit = frontier.withColumnRenamed("_n", "_goal").join(pairs, ["_s", "_goal"], "left_semi")
+            results = results.unionByName(hit.select("_s", "_goal", "_p"))
+
+    def _from_goals(self, starts: DataFrame, goal: DataFrame, edges: DataFrame) -> DataFrame:
+        """_s, _goal, _p of the nearest other goal of each start: one search back from all goals, whatever the number of starts.
+
+        A node keeps the two goals nearest to it; a third can be nobody's nearest by way of it, as one of the two isn't where one began.
+        """
+        frontier = round_table(goal.distinct().select("_goal", F.col("_goal").alias("_n"), F.array().cast(self._edge_type()).alias("_p")))
+        seen = frontier.select("_goal", "_n")
+        results = frontier.select(F.col("_n").alias("_s"), "_goal", "_p").filter(F.lit(False))
+        while not frontier.isEmpty():
+            step = frontier.join(edges, F.col("_n") == F.col("_to")).select("_goal", F.col("_from").alias("_n"), F.concat(F.array("_e"), "_p").alias("_p"))
+            least = Window.partitionBy("_goal", "_n").orderBy(F.transform("_p", lambda x: x["id"]))
+            step = step.withColumn("_r", F.row_number().over(least)).filter("_r = 1").drop("_r").join(seen, ["_goal", "_n"], "left_anti")
+            held = seen.groupBy("_n").agg(F.count("*").alias("_held"))
+            rank = F.row_number().over(Window.partitionBy("_n").orderBy("_goal")) + F.coalesce("_held", F.lit(0))
+            frontier = round_table(step.join(held, "_n", "left").withColumn("_r", rank).filter("_r <= 2").select("_goal", "_n", "_p"))
+            seen = seen.unionByName(frontier.select("_goal", "_n"))
+            hit = frontier.filter("_goal <> _n").withColumnRenamed("_n", "_s").join(starts, "_s", "left_semi")
+            results = results.unionByName(hit.select("_s", "_goal", "_p"))
+        first = Window.partitionBy("_s").orderBy(F.size("_p"), "_goal")
+        return results.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
+
     def _path_with_nodes(self, var: str, first: str) -> None:
         """nodes and edges of the path in ``_p``, its nodes joined by id and put in order."""
         tag = self.fresh("row")

@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basalt.operators.recursive import round_table
+
 STATS = "table_name string, column_name string, row_count long, distinct_values double, null_fraction double, average_width double, common_values array<string>, common_frequencies array<double>"
 
 
@@ -64,11 +66,11 @@ class QueryStats:
         own[3] += rows
 
     def run(self, spark: SparkSession, sql: str):
-        """Run to the end and record."""
+        """Run to the end and record; the result is a written table, however large."""
         began = time.perf_counter()
-        rows = spark.sql(sql).collect()
-        self.record(sql, (time.perf_counter() - began) * 1000, len(rows))
-        return rows
+        out = round_table(spark.sql(sql))
+        self.record(sql, (time.perf_counter() - began) * 1000, out.count())
+        return out
 
     def show(self, spark: SparkSession) -> DataFrame:
         rows = [(k, int(n), ms, ms / n, most, int(r)) for k, (n, ms, most, r) in self.seen.items()]
@@ -104,5 +106,5 @@ def needs_compaction(files: int, delete_files: int = 0) -> bool:
 def maintain(table) -> DataFrame | None:
     """Compact a lake table that has many files or many deleted rows."""
     s = table.current()
-    live, dead = sum(f["rows"] for f in s.files), sum(d["rows"] for d in s.deletes)
-    return table.compact() if needs_compaction(len(s.files), len(s.deletes)) or needs_vacuum(live - dead, dead) else None
+    live, dead = s.n_rows, s.n_deleted
+    return table.compact() if needs_compaction(s.n_files, len(s.deletes)) or needs_vacuum(live - dead, dead) else None

@@ -1,13 +1,16 @@
-"""Lake tables: Parquet data files and a log of JSON snapshots.
+"""Lake tables: Parquet data files, manifests that list them, and a log of JSON snapshots.
 
-A commit writes its files first and publishes one log entry by creating a file that must not exist yet,
-so readers see all of a commit or none, and of two writers one fails.  Readers pin a snapshot: its files,
-pruned by partition values and column ranges, less rows in its position deletes.  All metadata goes
-through Hadoop's file systems, so a table can lie wherever Spark can write.
+A commit writes its files first, lists them in a manifest of its own, and publishes one log entry by
+creating a file that must not exist yet, so readers see all of a commit or none, and of two writers one
+fails.  A log entry names manifests, not files, so a commit costs what it adds.  Readers pin a snapshot: its
+files, pruned by the column ranges and buckets in the manifests, less rows in its position deletes.  All
+metadata goes through Hadoop's file systems, so a table can lie wherever Spark can write.
 """
 
 from __future__ import annotations
 
+import datetime
+import decimal
 import json
 import re
 import time
@@ -67,11 +70,25 @@ class Snapshot:
     operation: str
     schema: str
     partition_by: list[str]
-    files: list[dict] = field(default_factory=list)
+    manifests: list[dict] = field(default_factory=list)  # path, files, rows
     deletes: list[dict] = field(default_factory=list)
     summary: dict = field(default_factory=dict)
 
 
+    @property
+    def n_files(self) -> int:
+        return sum(m["files"] for m in self.manifests)
+
+    @property
+    def n_rows(self) -> int:
+        """Rows of the data files, deleted ones included."""
+        return sum(m["rows"] for m in self.manifests)
+
+    @property
+    def n_deleted(self) -> int:
+        return sum(d["rows"] for d in self.deletes)
+
+
 class CommitConflict(RuntimeError):
     """Another writer has published a snapshot first."""
 
@@ -79,6 +96,9 @@ class CommitConflict(RuntimeError):
 class LakeTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._known: dict[str, list[dict]] = {}
+        #: snapshots that this object has published
+        self.made: list[int] = []
 
     # files ---------------------------------------------------------------------------------------
 
@@ -90,25 +110,48 @@ class LakeTable:
     def _log(self, number: int) -> str:
         return f"{self.path}/_log/{number:012d}.json"
 
+    def _write_text(self, path: str, text: str) -> None:
+        """A new file; an error if there is one."""
+        fs, p = self._fs(path)
+        out = fs.create(p, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def _read_text(self, path: str) -> str:
+        fs, p = self._fs(path)
+        stream = fs.open(p)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
     def _publish(self, snapshot: Snapshot) -> Snapshot:
-        fs, p = self._fs(self._log(snapshot.id))
         try:
-            out = fs.create(p, False)
+            self._write_text(self._log(snapshot.id), json.dumps(snapshot.__dict__))
         except Exception as e:
             if "already exists" in str(e):
                 raise CommitConflict(f"snapshot {snapshot.id} of {self.path} exists") from e
             raise
-        out.write(bytearray(json.dumps(snapshot.__dict__).encode()))
-        out.close()
+        self.made.append(snapshot.id)
         return snapshot
 
     def _read_log(self, number: int) -> Snapshot:
-        fs, p = self._fs(self._log(number))
-        stream = fs.open(p)
-        try:
-            return Snapshot(**json.loads(bytes(stream.readAllBytes()).decode()))
-        finally:
-            stream.close()
+        return Snapshot(**json.loads(self._read_text(self._log(number))))
+
+    def _manifest(self, files: list[dict]) -> list[dict]:
+        """The manifest of these files, as a list for a snapshot; manifests never change once they are written."""
+        if not files:
+            return []
+        path = f"{self.path}/_manifests/{uuid.uuid4().hex}.json"
+        self._write_text(path, "\n".join(map(json.dumps, files)))
+        return [{"path": path, "files": len(files), "rows": sum(f["rows"] for f in files)}]
+
+    def files_of(self, snapshot: Snapshot) -> list[dict]:
+        """All data files of a snapshot, with their rows, partition values and column ranges."""
+        for m in snapshot.manifests:
+            if m["path"] not in self._known:
+                self._known[m["path"]] = [json.loads(x) for x in self._read_text(m["path"]).split("\n")]
+        return [f for m in snapshot.manifests for f in self._known[m["path"]]]
 
     def _numbers(self) -> list[int]:
         fs, p = self._fs(f"{self.path}/_log")
@@ -155,22 +198,24 @@ class LakeTable:
         return StructType.fromJson(json.loads(self.snapshot(snapshot_id).schema))
 
     def snapshots(self) -> DataFrame:
-        """snapshot_id, parent_id, committed_at, operation, total_files, total_records, deleted_records."""
+        """snapshot_id, parent_snapshot_id, timestamp_ms, operation, added_records, total_records (live ones), manifest_list."""
         rows = []
         for s in map(self._read_log, self._numbers()):
-            rows.append((s.id, s.parent, s.timestamp_ms, s.operation, len(s.files), sum(f["rows"] for f in s.files), sum(d["rows"] for d in s.deletes)))
-        names = "snapshot_id long, parent_id long, ms long, operation string, total_files long, total_records long, deleted_records long"
-        made = self.spark.createDataFrame(rows, names)
-        return made.withColumn("committed_at", F.timestamp_millis("ms")).drop("ms")
+            rows.append((s.id, s.parent, s.timestamp_ms, s.operation, s.summary.get("added", 0), s.n_rows - s.n_deleted, self._log(s.id)))
+        names = "snapshot_id long, parent_snapshot_id long, timestamp_ms long, operation string, added_records long, total_records long, manifest_list string"
+        return self.spark.createDataFrame(rows, names)
 
     def files(self, snapshot_id: int | None = None) -> DataFrame:
-        """file_path, partition, record_count, lower_bounds, upper_bounds, null_counts, content of a snapshot."""
-        s = self.snapshot(snapshot_id)
-        rows = [(f["path"], json.dumps(f["partition"]), f["rows"], json.dumps(f["min"]), json.dumps(f["max"]), json.dumps(f["nulls"]), "data") for f in s.files]
-        rows += [(d["path"], "{}", d["rows"], "{}", "{}", "{}", "position deletes") for d in s.deletes]
-        names = "file_path string, partition string, record_count long, lower_bounds string, upper_bounds string, null_counts string, content string"
+        """snapshot_id (that added the file), file_path, file_format, record_count, file_size_in_bytes, lower_bounds, upper_bounds."""
+        rows = [(f["snapshot"], f["path"], "PARQUET", f["rows"], f["size"], json.dumps(f["min"]), json.dumps(f["max"])) for f in self.files_of(self.snapshot(snapshot_id))]
+        names = "snapshot_id long, file_path string, file_format string, record_count long, file_size_in_bytes long, lower_bounds string, upper_bounds string"
         return self.spark.createDataFrame(rows, names)
 
+    def partitions(self, snapshot_id: int | None = None) -> DataFrame:
+        """partition, record_count, file_count of a snapshot."""
+        rows = [(json.dumps(f["partition"]), f["rows"]) for f in self.files_of(self.snapshot(snapshot_id))]
+        return self.spark.createDataFrame(rows, "partition string, n long").groupBy("partition").agg(F.sum("n").alias("record_count"), F.count("*").alias("file_count"))
+
     # writing -------------------------------------------------------------------------------------
 
     def _write_files(self, df: DataFrame, base: Snapshot) -> list[dict]:
@@ -190,29 +235,34 @@ class LakeTable:
             df.write.parquet(folder)
         written = self.spark.read.schema(StructType([*schema.fields, *_parse_datatype_string(", ".join(f"{p} string" for p in parts) or "_x int").fields[: len(parts)]]))
         written = written.parquet(folder)
-        ranged = [f.name for f in schema if f.dataType.simpleString() not in ("binary", "variant") and not f.dataType.simpleString().startswith(("array", "map", "struct"))]
-        found = written.groupBy(F.col("_metadata.file_path").alias("path"), *parts).agg(
+        ranged = [f.name for f in schema if _comparable(kinds[f.name])]
+        real = [c for c in ranged if kinds[c] in ("float", "double")]
+        own = {c: F.when(~F.isnan(c), F.col(c)) if c in real else F.col(c) for c in ranged}
+        text = lambda c, v: (F.unix_micros(v) if kinds[c] == "timestamp" else v).cast("string")
+        found = written.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), *parts).agg(
             F.count("*").alias("rows"),
-            *[F.min(c).cast("string").alias(f"min_{c}") for c in ranged], *[F.max(c).cast("string").alias(f"max_{c}") for c in ranged],
-            *[F.sum(F.col(c).isNull().cast("long")).alias(f"nulls_{c}") for c in ranged],
+            *[text(c, F.min(own[c])).alias(f"min_{c}") for c in ranged], *[text(c, F.max(own[c])).alias(f"max_{c}") for c in ranged],
+            *[F.sum(F.col(f"`{c}`").isNull().cast("long")).alias(f"nulls_{c}") for c in ranged], *[F.sum(F.isnan(c).cast("long")).alias(f"nans_{c}") for c in real],
         )
         out = []
         for r in found.toLocalIterator():  # a row a file
             partition = {t.name: r[p] for t, p in zip(transforms, parts, strict=True)}
-            bounds = {k: {c: r[f"{k}_{c}"] for c in ranged} for k in ("min", "max", "nulls")}
-            out.append({"path": r["path"], "rows": r["rows"], "partition": partition} | bounds)
+            bounds = {k: {c: r[f"{k}_{c}"] for c in ranged} for k in ("min", "max", "nulls")} | {"nans": {c: r[f"nans_{c}"] or 0 for c in real}}
+            out.append({"path": r["path"], "size": r["size"], "rows": r["rows"], "snapshot": base.id + 1, "partition": partition} | bounds)
         return out
 
-    def commit(self, operation: str, base: Snapshot, files: list[dict], deletes: list[dict], schema: str | None = None, **summary) -> Snapshot:
-        return self._publish(Snapshot(base.id + 1, base.id, int(time.time() * 1000), operation, schema or base.schema, base.partition_by, files, deletes, summary))
+    def commit(self, operation: str, base: Snapshot, manifests: list[dict], deletes: list[dict], schema: str | None = None, **summary) -> Snapshot:
+        before = {m["path"] for m in base.manifests}
+        added = {"added": sum(m["rows"] for m in manifests if m["path"] not in before)}
+        return self._publish(Snapshot(base.id + 1, base.id, int(time.time() * 1000), operation, schema or base.schema, base.partition_by, manifests, deletes, _carried(base) | added | summary))
 
     def append(self, df: DataFrame) -> Snapshot:
         base = self.current()
-        return self.commit("append", base, base.files + self._write_files(df, base), base.deletes)
+        return self.commit("append", base, base.manifests + self._manifest(self._write_files(df, base)), base.deletes)
 
     def overwrite(self, df: DataFrame) -> Snapshot:
         base = self.current()
-        return self.commit("overwrite", base, self._write_files(df, base), [])
+        return self.commit("overwrite", base, self._manifest(self._write_files(df, base)), [])
 
     def truncate(self) -> Snapshot:
         base = self.current()
@@ -224,46 +274,104 @@ class LakeTable:
         gone = self.read(with_position=True).filter(condition).select("_file", "_pos")
         return self.change(base, gone, None, "delete")
 
-    def change(self, base: Snapshot, gone: DataFrame | None, new: DataFrame | None, operation: str) -> int:
+    def change(self, base: Snapshot, gone: DataFrame | None, new: DataFrame | None, operation: str, **summary) -> int:
         """One commit that deletes positions and appends rows; the number of rows deleted."""
-        files, deletes, n = list(base.files), list(base.deletes), 0
+        manifests, deletes, n = list(base.manifests), list(base.deletes), 0
         if gone is not None:
             path = f"{self.path}/deletes/{uuid.uuid4().hex}"
             gone.select("_file", "_pos").distinct().write.parquet(path)
             n = self.spark.read.schema("_file string, _pos long").parquet(path).count()
             deletes += [{"path": path, "rows": n}] if n else []
         if new is not None:
-            files += self._write_files(new, base)
-        self.commit(operation, base, files, deletes, deleted=n)
+            manifests += self._manifest(self._write_files(new, base))
+        self.commit(operation, base, manifests, deletes, deleted=n, **summary)
         return n
 
     def compact(self) -> DataFrame:
-        """Rewrite live rows into few files: snapshot_id, files_before, files_after, records, deletes_applied, operation."""
+        """Rewrite live rows into few files: table_name, compacted, files_before, files_after, total_records, delete_files_removed."""
         base = self.current()
-        files = self._write_files(self.read(base.id), base)
-        s = self.commit("replace", base, files, [])
-        row = (s.id, len(base.files), len(files), sum(f["rows"] for f in files), sum(d["rows"] for d in base.deletes), s.operation)
-        names = "snapshot_id long, files_before long, files_after long, records long, deletes_applied long, operation string"
+        name = self.path.rsplit("/", 1)[-1]
+        after = base
+        if base.deletes or base.n_files > 1:
+            after = self.commit("replace", base, self._manifest(self._write_files(self.read(base.id), base)), [])
+        row = (name, after is not base, base.n_files, after.n_files, after.n_rows, len(base.deletes))
+        names = "table_name string, compacted boolean, files_before long, files_after long, total_records long, delete_files_removed long"
         return self.spark.createDataFrame([row], names)
 
     def evolve(self, schema: StructType) -> Snapshot:
         """A metadata-only change of columns; files are read by name, missing columns are null."""
         base = self.current()
-        return self.commit("schema", base, base.files, base.deletes, schema.json())
+        return self.commit("schema", base, base.manifests, base.deletes, schema.json())
+
+    def undo(self, snapshot_ids: list[int]) -> Snapshot:
+        """The table as it is, without what these snapshots did: their files and deletes go, what they took away comes back."""
+        now = self.current()
+        new: dict[str, list[dict]] = {}
+        for kind in ("manifests", "deletes"):
+            came, went = {}, {}
+            for n in snapshot_ids:
+                s = self._read_log(n)
+                own, before = ({x["path"]: x for x in getattr(y, kind)} for y in (s, self._read_log(s.parent)))
+                came |= {k: x for k, x in own.items() if k not in before}
+                went |= {k: x for k, x in before.items() if k not in own}
+            left = {x["path"]: x for x in getattr(now, kind) if x["path"] not in came}
+            new[kind] = [*left.values(), *(x for k, x in went.items() if k not in left and k not in came)]
+        return self.commit("undo", now, new["manifests"], new["deletes"])
 
     def restore(self, snapshot_id: int) -> Snapshot:
         """The table as it was, as a new snapshot."""
         base, old = self.current(), self._read_log(snapshot_id)
-        return self.commit("restore", base, old.files, old.deletes, old.schema)
+        return self.commit("restore", base, old.manifests, old.deletes, old.schema)
+
+    def backup(self, path: str, snapshot_id: int | None = None) -> LakeTable:
+        """A copy of one snapshot's live rows as a table of its own, with the schema and partitions."""
+        s = self.snapshot(snapshot_id)
+        copy = LakeTable.create(self.spark, path, self.schema(s.id), s.partition_by)
+        copy.append(self.read(s.id))
+        return copy
+
+    def verify(self) -> DataFrame:
+        """file_path, expected, found of data files that are missing or have other rows than their manifest says; none if all is well."""
+        own = self.files_of(self.current())
+        expected = self.spark.createDataFrame([(f["path"], f["rows"]) for f in own], "file_path string, expected long")
+        there = [f["path"] for f in own if (p := self._fs(f["path"])) and p[0].exists(p[1])]
+        if there:
+            found = self.spark.read.schema(self.schema()).parquet(*there).groupBy(F.col("_metadata.file_path").alias("file_path")).agg(F.count("*").alias("found"))
+        else:
+            found = self.spark.createDataFrame([], "file_path string, found long")
+        return expected.join(found, "file_path", "left").filter("found IS NULL OR found <> expected")
 
     # reading -------------------------------------------------------------------------------------
 
     def pruned_files(self, where: dict[str, tuple] | None = None, snapshot_id: int | None = None) -> list[dict]:
-        """Files that may hold rows with ``{column: (operator, value)}``; operators = <> < <= > >=."""
+        """Files that may hold rows with ``{column: (operator, value)}``; operators = <> < <= > >=.
+
+        Spark compares the bounds as it compares the rows: in the column's type, with its casts.
+        """
         s = self.snapshot(snapshot_id)
-        transforms = [Transform.parse(t) for t in s.partition_by]
+        files = self.files_of(s)
         kinds = {f.name: f.dataType.simpleString() for f in StructType.fromJson(json.loads(s.schema))}
-        return [f for f in s.files if all(_may_hold(f, c, op, v, transforms, kinds) for c, (op, v) in (where or {}).items())]
+        tests = [(c, op, v) for c, (op, v) in (where or {}).items() if _comparable(kinds[c]) and _alike(kinds[c], v)]
+        if not files or not tests:
+            return files
+        buckets = {t.column: t for t in map(Transform.parse, s.partition_by) if t.kind == "bucket"}
+        rows, kept = [], F.lit(True)
+        for k, f in enumerate(files):
+            row: list = [k]
+            for c, _, _ in tests:
+                nans, nulls = f["nans"].get(c, 0), f["nulls"].get(c)
+                row += [f["min"].get(c), f["max"].get(c), nans > 0 or nulls is None, f["partition"].get(buckets[c].name) if c in buckets else None]
+            rows.append(tuple(row))
+        for i, (c, op, v) in enumerate(tests):
+            low, high = (_typed(F.col(f"{x}{i}"), kinds[c]) for x in ("low", "high"))
+            value = F.lit(v)
+            may = {"=": (low <= value) & (high >= value), "<>": ~((low == value) & (high == value)), "<": low < value, "<=": low <= value, ">": high > value, ">=": high >= value}[op]
+            if c in buckets and op == "=" and kinds[c] not in ("float", "double"):
+                may = may & F.coalesce(F.col(f"bucket{i}") == buckets[c].apply(value.cast(kinds[c]), kinds[c]), F.lit(True))
+            kept = kept & (F.col(f"doubt{i}") | F.coalesce(may, F.lit(False)))
+        names = "k long" + "".join(f", low{i} string, high{i} string, doubt{i} boolean, bucket{i} string" for i in range(len(tests)))
+        wanted = {r["k"] for r in self.spark.createDataFrame(rows, names).filter(kept).select("k").collect()}
+        return [f for k, f in enumerate(files) if k in wanted]
 
     def read(self, snapshot_id: int | None = None, where: dict[str, tuple] | None = None, with_position: bool = False) -> DataFrame:
         """Rows of a snapshot; ``where`` prunes files first and is applied to rows as well."""
@@ -287,23 +395,27 @@ class LakeTable:
         return rows.select(*schema.names, "_file", "_pos") if with_position else rows.select(*schema.names)
 
 
-def _may_hold(file: dict, column: str, op: str, value, transforms: list[Transform], kinds: dict[str, str]) -> bool:
-    for t in transforms:
-        if t.column == column and t.kind == "identity" and op in ("=", "<>"):
-            own = file["partition"][t.name]
-            if own is None or (own == str(value)) != (op == "="):
-                return False
-        if t.column == column and t.kind in ("year", "month", "day") and op == "=":
-            if file["partition"][t.name] != str(value)[: {"year": 4, "month": 7, "day": 10}[t.kind]]:
-                return False
-        if t.column == column and t.kind == "truncate" and op == "=" and kinds[column] == "string":
-            if file["partition"][t.name] != str(value)[: t.width]:
-                return False
-    low, high = file["min"].get(column), file["max"].get(column)
-    if low is None or high is None:
-        return file["nulls"].get(column) != file["rows"]
-    if kinds[column] in ("tinyint", "smallint", "int", "bigint", "float", "double") or kinds[column].startswith("decimal"):
-        low, high, value = float(low), float(high), float(value)
-    else:
-        value = str(value)
-    return {"=": low <= value <= high, "<>": not low == high == value, "<": low < value, "<=": low <= value, ">": high > value, ">=": high >= value}[op]
+def _carried(snapshot: Snapshot) -> dict:
+    """What a queue notes in a snapshot and later snapshots must keep."""
+    return {k: v for k, v in snapshot.summary.items() if k not in ("added", "deleted")}
+
+
+def _comparable(kind: str) -> bool:
+    return kind not in ("binary", "variant", "interval") and not kind.startswith(("array", "map", "struct", "interval"))
+
+
+def _typed(text: Column, kind: str) -> Column:
+    return F.timestamp_micros(text.cast("long")) if kind == "timestamp" else text.cast(kind)
+
+
+def _alike(kind: str, value) -> bool:
+    """Whether ranges of the column's type say something about comparisons with the value; None compares with nothing."""
+    if value is None:
+        return True
+    if kind == "string":
+        return isinstance(value, str)
+    if kind == "boolean":
+        return isinstance(value, bool)
+    if kind.startswith(("timestamp", "date")):
+        return isinstance(value, (str, datetime.date))
+    return isinstance(value, (int, float, decimal.Decimal)) and not isinstance(value, bool)

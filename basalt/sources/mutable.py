@@ -1,7 +1,9 @@
 """Mutable tables over lake tables: constraints, DML with returned changes, sequences.
 
-Every change is one commit: positions of the rows that go, and files of the rows that come.  Checks run
-as joins and aggregations before the commit.  The engine's right-hand sides all see the old row.
+Every change is one commit: positions of the rows that go, and files of the rows that come.  A statement
+pins a snapshot first, reads and checks against it, and commits on top of it, so a writer in between is a
+conflict, never a duplicate.  Checks look at new keys and references only, by semi joins, and are left out
+where a statement doesn't touch them.  The engine's right-hand sides all see the old row.
 """
 
 from __future__ import annotations
@@ -121,17 +123,23 @@ class MutableTable:
     def keys(self) -> list[list[str]]:
         return ([self.primary_key] if self.primary_key else []) + self.unique
 
-    def _check_unique(self, after: DataFrame) -> None:
+    def _check_unique(self, new: DataFrame, old: DataFrame | None) -> None:
+        """New rows against each other and against the rows that stay."""
         for key in self.keys():
-            full = after.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in key))  # a null in a key exempts the row
+            full = new.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in key))  # a null in a key exempts the row
             if not full.groupBy(*key).count().filter("count > 1").isEmpty():
                 raise ConstraintError(f"rows share the key {key}")
+            if old is not None and not full.select(*key).join(old.select(*key), key, "left_semi").isEmpty():
+                raise ConstraintError(f"rows share the key {key}")
 
-    def _check_rows(self, new: DataFrame) -> None:
-        needed = [*self.primary_key, *self.not_null]
+    def _check_rows(self, new: DataFrame, touched: set[str] | None = None) -> None:
+        """Nulls and references of new rows, in the columns that a statement sets (all by default)."""
+        needed = [c for c in dict.fromkeys([*self.primary_key, *self.not_null]) if touched is None or c in touched]
         if needed and not new.filter(" OR ".join(f"`{c}` IS NULL" for c in needed)).isEmpty():
             raise ConstraintError(f"a null in {needed}")
         for fk in self.foreign_keys:
+            if touched is not None and fk.column not in touched:
+                continue
             parents = fk.parent.read().select(F.col(fk.parent_column).alias(fk.column))
             if not new.filter(F.col(fk.column).isNotNull()).join(parents, fk.column, "left_anti").isEmpty():
                 raise ConstraintError(f"{fk.column} refers to a missing row")
@@ -147,10 +155,10 @@ class MutableTable:
     # statements ----------------------------------------------------------------------------------
 
     def insert(self, df: DataFrame) -> Changes:
-        new = self._conform(df)
-        self._check_rows(new)
-        self._check_unique(self.read().unionByName(new))
         base = self.lake.current()
+        new = round_table(self._conform(df))  # checked, written and returned: one and the same rows
+        self._check_rows(new)
+        self._check_unique(new, self.lake.read(base.id))
         self.lake.change(base, None, new, "insert")
         return Changes(new.count(), new)
 
@@ -162,34 +170,40 @@ class MutableTable:
         key = on or self.primary_key
         from .tables import first_per_key
 
+        base = self.lake.current()
         incoming = first_per_key(self._conform(df), key, *[F.col(c) for c in self.schema.names])
         self._check_rows(incoming)
-        base = self.lake.current()
-        old = self.lake.read(with_position=True)
+        old = self.lake.read(base.id, with_position=True)
         both = old.alias("old").join(incoming.alias("excluded"), [F.col(f"old.{c}") == F.col(f"excluded.{c}") for c in key])
-        fresh = incoming.join(old.select(*key), key, "left_anti")
+        fresh = round_table(incoming.join(old.select(*key), key, "left_anti").select(*self.schema.names))
         if update is None:
+            self._check_unique(fresh, old)
             self.lake.change(base, None, fresh, "insert")
             return Changes(fresh.count(), fresh)
         hit = both.filter(where) if where is not None else both
         changed = hit.select(*[update.get(c, F.col(f"old.{c}")).cast(self.schema[c].dataType).alias(c) for c in self.schema.names], "old._file", "old._pos")
-        return self._apply(base, changed, fresh, "upsert")
+        return self._apply(base, changed, fresh, "upsert", set(update))
 
-    def _apply(self, base, changed: DataFrame, fresh: DataFrame | None, operation: str) -> Changes:
+    def _apply(self, base, changed: DataFrame, fresh: DataFrame | None, operation: str, touched: set[str]) -> Changes:
+        """Commit changed rows (with the positions of the old ones) and new ones, after the checks that ``touched`` columns ask for."""
+        changed = round_table(changed)
         new = changed.drop("_file", "_pos")
+        self._check_rows(new, touched)
+        if any(c in touched for key in self.keys() for c in key):
+            stays = self.lake.read(base.id, with_position=True).join(changed.select("_file", "_pos"), ["_file", "_pos"], "left_anti")
+            self._check_unique(new.unionByName(fresh) if fresh is not None else new, stays)
+        elif fresh is not None:
+            self._check_unique(fresh, self.lake.read(base.id))
         new = new.unionByName(fresh) if fresh is not None else new
-        self._check_rows(new)
-        stays = self.lake.read(base.id, with_position=True).join(changed.select("_file", "_pos"), ["_file", "_pos"], "left_anti").drop("_file", "_pos")
-        self._check_unique(stays.unionByName(new))
-        before = self.lake.read(base.id)
         self.lake.change(base, changed.select("_file", "_pos"), new, operation)
-        self._after_key_update(before)
+        if any(fk.parent_column in touched for _, fk in self.children):
+            self._after_key_update(self.lake.read(base.id))
         return Changes(new.count(), new)
 
     def update(self, assignments: dict[str, Column], where: Column | None = None, source: DataFrame | None = None, on: Column | None = None) -> Changes:
         """UPDATE [FROM source]: of several source rows for a row one counts, the least in an order of all columns."""
         base = self.lake.current()
-        rows = self.lake.read(with_position=True).alias("t")
+        rows = self.lake.read(base.id, with_position=True).alias("t")
         if source is not None:
             rows = rows.join(source.alias("s"), on)
         rows = rows.filter(where) if where is not None else rows
@@ -199,12 +213,12 @@ class MutableTable:
             from .tables import first_per_key
 
             changed = first_per_key(changed, ["_file", "_pos"], *[F.col(c) for c in self.schema.names])
-        return self._apply(base, changed, None, "update")
+        return self._apply(base, changed, None, "update", set(assignments))
 
     def delete(self, where: Column | None = None, using: DataFrame | None = None, on: Column | None = None) -> Changes:
         """DELETE [USING source]."""
         base = self.lake.current()
-        rows = self.lake.read(with_position=True).alias("t")
+        rows = self.lake.read(base.id, with_position=True).alias("t")
         if using is not None:
             rows = rows.join(using.alias("s"), on, "left_semi")
         gone = rows.filter(where) if where is not None else rows
@@ -219,7 +233,7 @@ class MutableTable:
         Conditions and values see ``t.`` and ``s.`` columns.  Two source rows for one target row are an error.
         """
         base = self.lake.current()
-        target = self.lake.read(with_position=True).alias("t")
+        target = self.lake.read(base.id, with_position=True).alias("t")
         joined = target.join(source.alias("s"), on)
         if matched and not joined.groupBy("t._file", "t._pos").count().filter("count > 1").isEmpty():
             raise ConstraintError("several source rows match one target row")
@@ -234,27 +248,33 @@ class MutableTable:
                 if what != "delete" and c in what:
                     v = F.when(F.col("_action") == k, what[c].cast(self.schema[c].dataType)).otherwise(v)
             values.append(v.alias(c))
-        acted = acted.select(*values, F.col("t._file").alias("_file"), F.col("t._pos").alias("_pos"), "_action")
+        acted = round_table(acted.select(*values, F.col("t._file").alias("_file"), F.col("t._pos").alias("_pos"), "_action"))
         removing = [k for k, (_, what) in enumerate(matched) if what == "delete"]
         removed = F.col("_action").isin(removing) if removing else F.lit(False)
-        fresh = []
         missing = source.alias("s").join(target, on, "left_anti")
-        left = missing
+        left, fresh = missing, self.spark.createDataFrame([], self.schema)
         for condition, what in not_matched:
             fits = F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))
-            fresh.append(left.filter(fits).select(*[what.get(c, F.lit(None)).cast(self.schema[c].dataType).alias(c) for c in self.schema.names]))
+            fresh = fresh.unionByName(left.filter(fits).select(*[what.get(c, F.lit(None)).cast(self.schema[c].dataType).alias(c) for c in self.schema.names]))
             left = left.filter(~fits)
-        new = acted.filter(~removed).select(*self.schema.names)
-        for f in fresh:
-            new = new.unionByName(f)
+        fresh = round_table(fresh)
+        kept = acted.filter(~removed).select(*self.schema.names)
+        touched = {c for _, what in matched if what != "delete" for c in what}
         if removing:
             gone_rows = self.lake.read(base.id, with_position=True).join(acted.filter(removed).select("_file", "_pos"), ["_file", "_pos"], "left_semi")
             self._before_delete(gone_rows.select(*self.schema.names))
-        self._check_rows(new)
-        stays = self.lake.read(base.id, with_position=True).join(acted.select("_file", "_pos"), ["_file", "_pos"], "left_anti").drop("_file", "_pos")
-        self._check_unique(stays.unionByName(new))
-        count = acted.count() + sum(f.count() for f in fresh)
+        self._check_rows(kept, touched)
+        self._check_rows(fresh)
+        stays = self.lake.read(base.id, with_position=True).join(acted.select("_file", "_pos"), ["_file", "_pos"], "left_anti")
+        if any(c in touched for key in self.keys() for c in key):
+            self._check_unique(kept.unionByName(fresh), stays)
+        else:
+            self._check_unique(fresh, stays.select(*self.schema.names).unionByName(kept))
+        new = kept.unionByName(fresh)
+        count = acted.count() + fresh.count()
         self.lake.change(base, acted.select("_file", "_pos"), new, "merge")
+        if any(fk.parent_column in touched for _, fk in self.children):
+            self._after_key_update(self.lake.read(base.id))
         return Changes(count, new)
 
     def truncate(self) -> None:
@@ -306,20 +326,25 @@ class MutableTable:
     def create_unique_index(self, *columns: str) -> None:
         self.unique.append(list(columns))
         try:
-            self._check_unique(self.read())
+            self._check_unique(self.read(), None)
         except ConstraintError:
             self.unique.pop()
             raise
 
 
 class Transaction:
-    """Several tables' changes together: on an error every table goes back to where it began."""
+    """Several tables' changes together: on an error what was done in it is undone, and nothing that others did meanwhile."""
+
+    def __init__(self, *tables):
+        """Lake tables, mutable tables, queues."""
+        self.lakes = [getattr(t, "lake", t) for t in tables]
+        self.begin()
 
-    def __init__(self, *tables: MutableTable | LakeTable):
-        self.lakes = [t.lake if isinstance(t, MutableTable) else t for t in tables]
+    def begin(self) -> None:
+        self.begun = [len(t.made) for t in self.lakes]
 
     def __enter__(self) -> Transaction:
-        self.begun = [t.current().id for t in self.lakes]
+        self.begin()
         return self
 
     def __exit__(self, kind, value, trace) -> None:
@@ -327,6 +352,7 @@ class Transaction:
             self.rollback()
 
     def rollback(self) -> None:
-        for lake, began in zip(self.lakes, self.begun, strict=True):
-            if lake.current().id != began:
-                lake.restore(began)
+        for lake, begun in zip(self.lakes, self.begun, strict=True):
+            if own := lake.made[begun:]:
+                lake.undo(own)
+        self.begin()

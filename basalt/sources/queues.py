@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from basalt.operators.recursive import round_table
+
 from .lake import LakeTable
 from .mutable import Changes, MutableTable, number_rows
 
@@ -58,7 +60,7 @@ class QueueTable:
     def send(self, df: DataFrame, order: list[str] = (), correlation_id: Column | None = None, at: Column | None = None) -> Changes:
         """Append messages with rising offsets in an order; times and ids are the system's."""
         base = self.lake.current()
-        first = self._next_offset()
+        first = int(base.summary.get("next_offset", 0))
         own = self.lake.schema().names[4:]
         rows = df.withColumns({c: F.lit(None).cast(self.lake.schema()[c].dataType) for c in own if c not in df.columns})
         rows = rows.withColumns({"_timestamp": at if at is not None else F.current_timestamp(), "_correlation_id": correlation_id if correlation_id is not None else F.lit(None).cast("string")})
@@ -66,7 +68,7 @@ class QueueTable:
         numbered = numbered.withColumn("_msg_id", F.format_string("ID:%s-%d-%08x", F.lit(self.path.rsplit("/", 1)[-1]), F.col("_offset"), F.abs(F.hash("_offset", *own))))
         files = self.lake._write_files(numbered, base)
         n = sum(f["rows"] for f in files)
-        self.lake.commit("append", base, base.files + files, base.deletes, next_offset=first + n)
+        self.lake.commit("append", base, base.manifests + self.lake._manifest(files), base.deletes, next_offset=first + n)
         return Changes(n)
 
     def read(self, where: str | None = None) -> DataFrame:
@@ -90,12 +92,12 @@ class QueueTable:
         """Retention: first by age, then the oldest beyond the size; the number of messages removed."""
         now_ms = now_ms or int(time.time() * 1000)
         base = self.lake.current()
-        rows = self.lake.read(with_position=True)
+        rows = self.lake.read(base.id, with_position=True)
         keep_from = 0
         if self.retention_ms is not None:
             live = rows.filter(F.unix_millis("_timestamp") >= now_ms - self.retention_ms)
             least = live.agg(F.min("_offset")).first()[0]
-            keep_from = self._next_offset() if least is None else least
+            keep_from = int(base.summary.get("next_offset", 0)) if least is None else least
         if self.max_bytes is not None:
             own = self.lake.schema().names[4:]
             size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in own), F.lit(64))
@@ -116,11 +118,7 @@ class QueueTable:
         gone = rows.filter(F.col("_offset") < keep_from).select("_file", "_pos")
         if gone.isEmpty():
             return 0
-        path_rows = self.lake.change(base, gone, None, "retention")
-        now = self.lake.current()
-        now.summary["next_offset"] = base.summary.get("next_offset", 0)
-        self.lake.commit("retention", now, now.files, now.deletes, **now.summary)
-        return path_rows
+        return self.lake.change(base, gone, None, "retention")  # one commit; the next offset goes on with it
 
     def committed(self, consumer: str) -> int | None:
         return self.commits.read(where={"consumer": ("=", consumer)}).agg(F.max_by("offset", "at")).first()[0]
@@ -207,7 +205,7 @@ class CacheTable:
     def insert(self, df: DataFrame) -> Changes:
         now = self.now()
         rows = df.withColumns({"_expires_at": F.lit(now + self.ttl_ms).cast("long"), "_created_at": F.lit(now).cast("long"), "_dirty": F.lit(True)})
-        new = {c: F.col(f"excluded.{c}") for c in self.table.schema.names}
+        new = {c: F.col(f"excluded.{c}") for c in self.table.schema.names if c not in self.table.primary_key}
         return self.table.upsert(rows, update=new)
 
     def read(self, system: bool = False) -> DataFrame:
@@ -226,14 +224,21 @@ class CacheTable:
         return self.table.delete(F.col("_expires_at") <= self.now()).count
 
     def flush(self) -> tuple[int, int]:
-        """Write dirty rows to the target by its key and take expired rows away: (written, expired)."""
+        """Write dirty rows to the target by its key and take expired rows away: (written, expired).
+
+        Rows that become dirty while this runs stay dirty.  A dirty row that has expired is not written: it is
+        gone for readers as well, and goes with the other expired rows.
+        """
         if self.target is None:
             raise ValueError("the cache has no table to write back to")
         written = 0
         if self.mode in ("upsert", "both"):
-            dirty = self.table.read().filter(F.col("_dirty") & (F.col("_expires_at") > self.now())).select(*self.target.schema.names)
+            live = self.table.lake.read(with_position=True).filter(F.col("_dirty") & (F.col("_expires_at") > self.now()))
+            dirty = round_table(live.select(*self.target.schema.names, "_file", "_pos"))
             written = dirty.count()
-            self.target.upsert(dirty, update={c: F.col(f"excluded.{c}") for c in self.target.schema.names})
+            self.target.upsert(dirty.drop("_file", "_pos"), update={c: F.col(f"excluded.{c}") for c in self.target.schema.names if c not in self.target.primary_key})
+            same = (F.col("t._file") == F.col("s._file")) & (F.col("t._pos") == F.col("s._pos"))  # rows as they were written
+            self.table.update({"_dirty": F.lit(False)}, source=dirty.select("_file", "_pos"), on=same)
         expired = self.table.read().filter(F.col("_expires_at") <= self.now())
         if self.mode in ("delete", "both"):
             keys = expired.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(self.target.primary_key)])
@@ -242,6 +247,4 @@ class CacheTable:
                 same = F.col(f"t.{c}") == F.col(f"s._k{i}")
                 on = same if on is None else on & same
             self.target.delete(using=keys, on=on)
-        gone = self.purge_expired()
-        self.table.update({"_dirty": F.lit(False)}, F.col("_dirty"))
-        return written, gone
+        return written, self.purge_expired()

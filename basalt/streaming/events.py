@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basalt.operators.recursive import shared_folder
+
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -50,7 +51,7 @@ def run_to_table(stream: DataFrame, mode: str = "append", folder: str | None = N
     back the last windows; complete mode gives out all.
     """
     spark = stream.sparkSession
-    base = folder or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="basalt-")
+    base = folder or shared_folder(spark)
     path = f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:

@@ -1,5 +1,7 @@
 """Graph queries, routines, dialects and cursors on small tables."""
 
+import random
+
 import pytest
 
 from basalt.plans.cypher import CypherError, parse
@@ -27,6 +29,31 @@ def test_paths(cities):
     assert values(found) == [(1, "Nagoya")]
 
 
+def test_shortest_paths_to_many_goals(spark):
+    """Every start, itself a goal or not, finds the nearest other goal: against a search from each start."""
+    rng = random.Random(8)
+    n = 24
+    links = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(30)})
+    goals = {k for k in range(n) if k % 5 == 0}
+    nodes = spark.createDataFrame([(k, ["Goal", "Node"] if k in goals else ["Node"], k) for k in range(n)], "id long, labels array<string>, key long")
+    edges = spark.createDataFrame([(100 + i, a, b, "LINK") for i, (a, b) in enumerate(links)], "id long, src_id long, dst_id long, type string")
+    g = Graph(spark, nodes, edges, "g")
+    want = {}
+    for s in range(n):
+        hops, frontier, d = {s: 0}, {s}, 0
+        while frontier and s not in want:
+            d += 1
+            frontier = {y for a, b in links for x, y in ((a, b), (b, a)) if x in frontier} - set(hops)
+            hops |= dict.fromkeys(frontier, d)
+            if found := frontier & goals:
+                want[s] = (d, min(found))
+    rows = g.cypher("MATCH p = shortestPath((a:Node)-[*]-(b:Goal)) RETURN a.key AS a, length(p) AS n, b.key AS b, nodes(p) AS ns").collect()
+    assert {r["a"]: (r["n"], r["b"]) for r in rows} == want and len(rows) == len(want)
+    for r in rows:
+        walk = [x["id"] for x in r["ns"]]
+        assert walk[0] == r["a"] and walk[-1] == r["b"] and all(tuple(sorted(p)) in set(links) for p in zip(walk, walk[1:], strict=False))
+
+
 def test_updates(cities):
     cities.cypher("MATCH (a:City) WHERE a.name = 'Kyoto' SET a.old = true, a:Capital")
     assert values(cities.cypher("MATCH (a:Capital) RETURN a.name AS n, a.old AS o")) == [("Kyoto", True)]
