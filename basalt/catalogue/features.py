@@ -6,7 +6,8 @@ user would read from it.
 
 from __future__ import annotations
 
-import tempfile
+import datetime
+import decimal
 import uuid
 from functools import reduce
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from basalt.functions.fulltext import inverted_index, script_words, search_index
 from basalt.operators.cursors import Cursor
-from basalt.operators.recursive import recursive
+from basalt.operators.recursive import recursive, shared_folder
 from basalt.operators.relational import range_join, salted_distinct_count
 from basalt.plans import statistics as stats
 from basalt.plans.dialect import Database
@@ -31,8 +32,7 @@ _ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice d
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="basalt-")
-    return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,12 +76,54 @@ def lake_compact(spark, sf_dir):
 def lake_snapshots(spark, sf_dir):
     lake = _lake(spark, sf_dir)
     lake.delete_where("o_orderkey < 10")
-    return lake.snapshots().select("snapshot_id", "operation", "total_records", "deleted_records")
+    return lake.snapshots().select("snapshot_id", "parent_snapshot_id", "operation", "added_records", "total_records")
 
 
 def lake_files(spark, sf_dir):
     files = _lake(spark, sf_dir, ["o_orderstatus"]).files()
-    return files.groupBy("partition").agg(F.sum("record_count").alias("record_count"))
+    sizes = F.min(F.col("file_size_in_bytes") > 0).alias("sized")
+    return files.groupBy("snapshot_id", "file_format").agg(F.sum("record_count").alias("record_count"), sizes)
+
+
+def lake_partitions(spark, sf_dir):
+    return _lake(spark, sf_dir, ["o_orderstatus"]).partitions().select("partition", "record_count")
+
+
+def lake_compaction_report(spark, sf_dir):
+    lake = _lake(spark, sf_dir)
+    lake.delete_where("o_orderstatus = 'P'")
+    return lake.compact().select("compacted", (F.col("files_before") >= 2).alias("several_before"), "total_records", "delete_files_removed")
+
+
+_TYPES = "k long, d double, b boolean, at timestamp_ntz, day date, big long, dec decimal(18,2), s string"
+
+
+def lake_prune_types(spark, sf_dir):
+    """Counts of rows found through pruned files, for columns of every type with NaN, nulls and longs beyond 2 ** 53."""
+    orders = _orders(spark, sf_dir)
+    key = F.col("o_orderkey")
+    rows = orders.select(
+        key.alias("k"), F.when(key % 5 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice")).alias("d"), F.when(key % 3 > 0, key % 2 == 0).alias("b"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("at"), F.col("o_orderdate").cast("date").alias("day"), (key + (1 << 60)).alias("big"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("dec"), F.when(key % 7 > 0, F.col("o_orderpriority")).alias("s"),
+    )
+    lake = LakeTable.create(spark, _folder(spark), _TYPES, ["bucket(4, k)"])
+    for part in ("o_orderstatus = 'F'", "o_orderstatus <> 'F'"):
+        lake.append(orders.select("o_orderkey", "o_orderstatus").join(rows, key == F.col("k")).filter(part).select(*rows.columns))
+    middle = datetime.datetime(1995, 6, 1)
+    tests = {
+        "nan_above": ("d", ">", 1e9), "equal": ("k", "=", 7), "true": ("b", "=", True), "not_true": ("b", "<>", True), "before": ("at", "<", middle), "since": ("day", ">=", middle.date()),
+        "big": ("big", "<=", (1 << 60) + 1001), "decimal": ("dec", ">", decimal.Decimal("150000.25")), "text": ("s", ">=", "3"), "date_of_time": ("at", ">", middle.date()),
+    }
+    counts = [lake.read(where={c: (op, v)}).agg(F.lit(name).alias("test"), F.count("*").alias("n")) for name, (c, op, v) in tests.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def lake_backup_verify(spark, sf_dir):
+    lake = _lake(spark, sf_dir, ["o_orderstatus"])
+    lake.delete_where("o_orderpriority LIKE '1%'")
+    copy = lake.backup(_folder(spark))
+    return copy.read().agg(F.count("*").alias("n"), F.lit(copy.verify().count()).cast("long").alias("broken"))
 
 
 def lake_join(spark, sf_dir):
@@ -102,31 +144,36 @@ def lake_schema_evolution(spark, sf_dir):
 _CUSTOMER = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
 
 
-def _customers(spark: SparkSession, sf_dir: str) -> MutableTable:
+def _customers(spark: SparkSession, sf_dir: str, part: str = "true") -> MutableTable:
+    """All customers, or those of some nations."""
     t = MutableTable.create(spark, _folder(spark), _CUSTOMER, primary_key=["c_custkey"])
-    t.insert(tables.table(spark, sf_dir, "customer").filter("c_custkey <= 100"))
+    t.insert(tables.table(spark, sf_dir, "customer").filter(part))
     return t
 
 
+#: What a table begins with, and what comes to it: some nations are in both, every customer is in one.
+_FIRST, _COMING = "c_nationkey < 20", "c_nationkey >= 15"
+
+
 def dml_insert_select(spark, sf_dir):
-    t = _customers(spark, sf_dir)
-    t.insert(tables.table(spark, sf_dir, "customer").filter("c_custkey BETWEEN 101 AND 150").select("c_custkey", "c_name"))
+    t = _customers(spark, sf_dir, _FIRST)
+    t.insert(tables.table(spark, sf_dir, "customer").filter(f"NOT ({_FIRST})").select("c_custkey", "c_name"))
     return t.read().select("c_custkey", "c_name", "c_nationkey")
 
 
 def _overlap(spark, sf_dir):
-    return tables.table(spark, sf_dir, "customer").filter("c_custkey BETWEEN 81 AND 140").withColumn("c_acctbal", F.lit(1.0))
+    return tables.table(spark, sf_dir, "customer").filter(_COMING).withColumn("c_acctbal", F.lit(1.0))
 
 
 def dml_upsert_nothing(spark, sf_dir):
-    t = _customers(spark, sf_dir)
+    t = _customers(spark, sf_dir, _FIRST)
     t.upsert(_overlap(spark, sf_dir))
     return t.read().select("c_custkey", "c_acctbal")
 
 
 def dml_upsert_update(spark, sf_dir):
-    t = _customers(spark, sf_dir)
-    t.upsert(_overlap(spark, sf_dir), update={"c_acctbal": F.col("old.c_acctbal") + F.col("excluded.c_acctbal")}, where=F.col("old.c_nationkey") > 5)
+    t = _customers(spark, sf_dir, _FIRST)
+    t.upsert(_overlap(spark, sf_dir), update={"c_acctbal": F.col("old.c_acctbal") + F.col("excluded.c_acctbal")}, where=F.col("old.c_nationkey") > 16)
     return t.read().select("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"))
 
 
@@ -155,18 +202,18 @@ def dml_delete_using(spark, sf_dir):
 
 
 def dml_merge(spark, sf_dir):
-    t = _customers(spark, sf_dir)
+    t = _customers(spark, sf_dir, _FIRST)
     t.merge(
         _overlap(spark, sf_dir), F.col("t.c_custkey") == F.col("s.c_custkey"),
-        matched=[(F.col("t.c_nationkey") < 5, "delete"), (None, {"c_acctbal": F.col("t.c_acctbal") + F.col("s.c_acctbal")})],
-        not_matched=[(F.col("s.c_nationkey") > 3, {"c_custkey": F.col("s.c_custkey"), "c_acctbal": F.col("s.c_acctbal")})],
+        matched=[(F.col("t.c_nationkey") < 17, "delete"), (None, {"c_acctbal": F.col("t.c_acctbal") + F.col("s.c_acctbal")})],
+        not_matched=[(F.col("s.c_nationkey") > 21, {"c_custkey": F.col("s.c_custkey"), "c_acctbal": F.col("s.c_acctbal")})],
     )
     return t.read().select("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"))
 
 
 def dml_returning(spark, sf_dir):
     t = _customers(spark, sf_dir)
-    done = t.update({"c_nationkey": F.lit(0)}, F.col("c_custkey") <= 10)
+    done = t.update({"c_nationkey": F.lit(0)}, F.col("c_acctbal") < 0)
     return done.rows.select("c_custkey", "c_nationkey")
 
 
@@ -179,7 +226,7 @@ def dml_truncate(spark, sf_dir):
 def _with_orders(spark, sf_dir, on_delete):
     parent = _customers(spark, sf_dir)
     child = MutableTable.create(spark, _folder(spark), "o_orderkey long, o_custkey long", primary_key=["o_orderkey"], foreign_keys=[ForeignKey("o_custkey", parent, "c_custkey", on_delete)])
-    child.insert(_orders(spark, sf_dir).filter("o_custkey <= 100").select("o_orderkey", "o_custkey"))
+    child.insert(_orders(spark, sf_dir).select("o_orderkey", "o_custkey"))
     parent.delete(F.col("c_custkey") % 3 == 0)
     return child.read()
 
@@ -195,7 +242,7 @@ def fk_set_null(spark, sf_dir):
 def unique_guard(spark, sf_dir):
     t = _customers(spark, sf_dir)
     try:
-        t.insert(tables.table(spark, sf_dir, "customer").filter("c_custkey = 7"))
+        t.insert(tables.table(spark, sf_dir, "customer"))
         said = "inserted"
     except ValueError:
         said = "refused"
@@ -203,25 +250,287 @@ def unique_guard(spark, sf_dir):
 
 
 def transaction_rollback(spark, sf_dir):
-    t = _customers(spark, sf_dir)
+    """What the transaction did is undone; what another writer added meanwhile stays."""
+    t = _customers(spark, sf_dir, _FIRST)
+    other = MutableTable(spark, t.path, primary_key=["c_custkey"])
     try:
         with Transaction(t):
-            t.delete(F.col("c_custkey") > 50)
+            t.delete(F.col("c_acctbal") > 0)
+            other.insert(tables.table(spark, sf_dir, "customer").filter(f"NOT ({_FIRST})"))
             raise RuntimeError("stop")
     except RuntimeError:
         pass
     return t.read().agg(F.count("*").alias("n"))
 
 
+# the same statements as SQL text -----------------------------------------------------------------
+
+
+def _database(spark, sf_dir, part: str = "true") -> Database:
+    """A database with customers (all, or some nations) in a table of its own, and views of the base tables."""
+    db = Database(spark, _folder(spark))
+    tables.register(spark, sf_dir, "customer", "orders", "nation", "part", "documents")
+    db.execute("CREATE TABLE cust (c_custkey BIGINT PRIMARY KEY, c_name VARCHAR(40), c_nationkey INT, c_acctbal DOUBLE PRECISION, c_mktsegment TEXT)")
+    db.execute(f"INSERT INTO cust SELECT * FROM customer WHERE {part}")
+    return db
+
+
+def sql_on_conflict(spark, sf_dir):
+    db = _database(spark, sf_dir, _FIRST)
+    db.execute(
+        f"INSERT INTO cust SELECT c_custkey, c_name, c_nationkey, 1.0, c_mktsegment FROM customer WHERE {_COMING} "
+        "ON CONFLICT (c_custkey) DO UPDATE SET c_acctbal = cust.c_acctbal + EXCLUDED.c_acctbal, c_name = concat(c_name, ', again') WHERE cust.c_nationkey > 16"
+    )
+    return db.execute("SELECT c_custkey, c_name, round(c_acctbal, 2) AS c_acctbal FROM cust")
+
+
+def sql_on_conflict_nothing(spark, sf_dir):
+    db = _database(spark, sf_dir, _FIRST)
+    db.execute(f"INSERT INTO cust SELECT c_custkey, c_name, c_nationkey, 1.0, c_mktsegment FROM customer WHERE {_COMING} ON CONFLICT DO NOTHING")
+    return db.execute("SELECT c_custkey, c_acctbal FROM cust")
+
+
+def sql_on_duplicate_key(spark, sf_dir):
+    db = _database(spark, sf_dir, _FIRST)
+    db.execute(f"INSERT INTO cust (c_custkey, c_acctbal) SELECT c_custkey, 5.0 FROM customer WHERE {_COMING} ON DUPLICATE KEY UPDATE c_acctbal = VALUES(c_acctbal) * 2, c_nationkey = c_nationkey + 1")
+    return db.execute("SELECT c_custkey, c_nationkey, c_acctbal FROM cust")
+
+
+def sql_update_from(spark, sf_dir):
+    db = _database(spark, sf_dir)
+    db.execute("UPDATE cust c SET c_mktsegment = concat(n.n_name, ', ', c_mktsegment) FROM nation n WHERE c.c_nationkey = n.n_nationkey AND n_regionkey = 1")
+    return db.execute("SELECT c_custkey, c_mktsegment FROM cust")
+
+
+def sql_delete_using(spark, sf_dir):
+    db = _database(spark, sf_dir)
+    gone = db.execute("DELETE FROM cust USING nation n WHERE cust.c_nationkey = n.n_nationkey AND n.n_regionkey = 2 RETURNING c_custkey AS gone")
+    return gone.join(db.execute("SELECT c_custkey FROM cust"), F.col("gone") == F.col("c_custkey"), "full")
+
+
+def sql_merge(spark, sf_dir):
+    db = _database(spark, sf_dir, _FIRST)
+    db.execute(
+        f"MERGE INTO cust AS t USING (SELECT c_custkey AS k, c_nationkey AS nk, 1.0D AS extra FROM customer WHERE {_COMING}) AS s ON t.c_custkey = s.k "
+        "WHEN MATCHED AND t.c_nationkey < 17 THEN DELETE WHEN MATCHED THEN UPDATE SET c_acctbal = t.c_acctbal + s.extra "
+        "WHEN NOT MATCHED AND s.nk > 21 THEN INSERT (c_custkey, c_acctbal) VALUES (s.k, s.extra)"
+    )
+    return db.execute("SELECT c_custkey, round(c_acctbal, 2) AS c_acctbal FROM cust")
+
+
+def sql_foreign_key(spark, sf_dir):
+    db = _database(spark, sf_dir)
+    db.execute("CREATE TABLE ord (o_orderkey BIGINT PRIMARY KEY, o_custkey BIGINT REFERENCES cust(c_custkey) ON DELETE CASCADE)")
+    db.execute("INSERT INTO ord SELECT o_orderkey, o_custkey FROM orders")
+    db.execute("DELETE FROM cust WHERE c_custkey % 3 = 0")
+    try:
+        db.execute("INSERT INTO ord VALUES (-1, -1)")
+    except ValueError:
+        pass
+    return db.execute("SELECT o_orderkey, o_custkey FROM ord")
+
+
+def sql_foreign_key_restrict(spark, sf_dir):
+    db = _database(spark, sf_dir)
+    db.execute("CREATE TABLE ord (o_orderkey BIGINT, o_custkey BIGINT, CONSTRAINT fk FOREIGN KEY (o_custkey) REFERENCES cust(c_custkey))")
+    db.execute("INSERT INTO ord SELECT o_orderkey, o_custkey FROM orders")
+    try:
+        db.execute("DELETE FROM cust")
+        said = "deleted"
+    except ValueError:
+        said = "refused"
+    return db.execute(f"SELECT COUNT(*) AS n, '{said}' AS said FROM cust")
+
+
+def sql_sequence(spark, sf_dir):
+    db = _database(spark, sf_dir)
+    db.execute("CREATE SEQUENCE ids START WITH 100 INCREMENT BY 5")
+    db.execute("CREATE TABLE numbered (id BIGINT PRIMARY KEY, k BIGINT)")
+    db.execute("INSERT INTO numbered SELECT NEXTVAL('ids') AS id, c_custkey FROM cust")
+    db.execute("INSERT INTO numbered VALUES (ids.NEXTVAL, -1)")
+    return db.execute("SELECT COUNT(DISTINCT id) AS n, MIN(id) AS least, MAX(id) AS most, ids.CURRVAL AS now, MAX(CASE WHEN k < 0 THEN id END) AS last FROM numbered")
+
+
+def sql_transaction(spark, sf_dir):
+    db = _database(spark, sf_dir)
+    db.execute("BEGIN")
+    db.execute("DELETE FROM cust WHERE c_acctbal > 0")
+    db.execute("ROLLBACK")
+    db.execute("BEGIN TRANSACTION")
+    db.execute("UPDATE cust SET c_name = 'poor, a = b' WHERE c_acctbal < 0")
+    db.execute("COMMIT")
+    return db.execute("SELECT c_name = 'poor, a = b' AS poor, COUNT(*) AS n FROM cust GROUP BY 1")
+
+
+def sql_information_schema(spark, sf_dir):
+    db = _database(spark, sf_dir)
+    return db.execute("SELECT c.table_name, column_name, data_type, is_nullable, columns_count, table_rows FROM information_schema.columns c JOIN information_schema.tables t ON c.table_name = t.table_name WHERE c.table_name = 'cust'")
+
+
+def sql_pg_proc(spark, sf_dir):
+    db = Database(spark, _folder(spark))
+    db.execute("CREATE FUNCTION twice(x int) RETURNS int AS $$ BEGIN RETURN x * 2; END $$ LANGUAGE plpgsql")
+    db.execute("CREATE PROCEDURE nothing() AS $$ BEGIN NULL; END $$")
+    return db.execute("SELECT proname, prokind, pronargs, proargnames FROM pg_proc")
+
+
+def sql_match(spark, sf_dir):
+    return _database(spark, sf_dir).execute("SELECT doc_id, text MATCH 'THE er' AS hit FROM documents")
+
+
+def sql_script_roundtrip(spark, sf_dir):
+    db, path = _database(spark, sf_dir), _folder(spark)
+    db.execute("CREATE TABLE ord (o_orderkey BIGINT PRIMARY KEY, o_custkey BIGINT REFERENCES cust(c_custkey) ON DELETE SET NULL)")
+    db.execute("INSERT INTO ord SELECT o_orderkey, o_custkey FROM orders")
+    db.execute(f"SCRIPT TO '{path}'")
+    again = Database(spark, _folder(spark))
+    again.execute(f"RUNSCRIPT FROM '{path}'")
+    again.execute("DELETE FROM cust WHERE c_acctbal < 0")
+    return again.execute("SELECT o_orderkey, o_custkey FROM ord")
+
+
+def sql_backup_restore(spark, sf_dir):
+    db, path = _database(spark, sf_dir), _folder(spark)
+    db.execute(f"BACKUP DATABASE TO '{path}'")
+    db.execute("DELETE FROM cust")
+    broken = db.execute(f"RESTORE VERIFYONLY FROM '{path}'").count()
+    db.execute(f"RESTORE DATABASE FROM '{path}'")
+    return db.execute(f"SELECT c_custkey, c_acctbal, {broken} AS broken FROM cust")
+
+
+def sql_external_table(spark, sf_dir):
+    """A second database opens what the first has made, with its schema."""
+    first, second, path = Database(spark, _folder(spark)), Database(spark, _folder(spark)), _folder(spark)
+    tables.register(spark, sf_dir, "part")
+    first.execute(f"CREATE ICEBERG TABLE own (p_partkey BIGINT, p_name VARCHAR(80), p_size INT) LOCATION '{path}' PARTITIONED BY (bucket(4, p_partkey), p_size)")
+    first.execute("INSERT INTO own SELECT p_partkey, p_name, p_size FROM part")
+    second.execute(f"CREATE EXTERNAL TABLE theirs LOCATION '{path}'")
+    return second.execute("SELECT p_partkey, p_name, p_size, (SELECT COUNT(*) FROM iceberg_snapshots(theirs)) AS snapshots FROM theirs")
+
+
+def sql_views(spark, sf_dir):
+    db = _database(spark, sf_dir)
+    db.execute("CREATE VIEW rich AS SELECT c_custkey, c_nationkey FROM cust WHERE c_acctbal > 5000")
+    return db.execute("SELECT c_nationkey, COUNT(*) AS n FROM rich GROUP BY c_nationkey")
+
+
+def sql_show_columns(spark, sf_dir):
+    return _database(spark, sf_dir).execute("SHOW COLUMNS FROM cust")
+
+
+def sql_copy(spark, sf_dir):
+    db, path = _database(spark, sf_dir), _folder(spark)
+    db.execute(f"COPY (SELECT c_custkey, c_name FROM cust WHERE c_acctbal > 0) TO '{path}' WITH CSV HEADER DELIMITER ';'")
+    db.execute("CREATE TABLE copied (c_custkey BIGINT PRIMARY KEY, c_name TEXT, note TEXT)")
+    db.execute(f"COPY copied (c_custkey, c_name) FROM '{path}' WITH CSV HEADER DELIMITER ';'")
+    return db.execute("SELECT * FROM copied")
+
+
+def sql_alter_table(spark, sf_dir):
+    db = _database(spark, sf_dir)
+    db.execute("ALTER TABLE cust ADD COLUMN note VARCHAR(10)")
+    db.execute("ALTER TABLE cust DROP COLUMN c_mktsegment")
+    db.execute("UPDATE cust SET note = 'poor' WHERE c_acctbal < 0")
+    db.execute("ALTER TABLE cust RENAME TO clients")
+    return db.execute("SELECT c_custkey, note FROM clients")
+
+
+def sql_unique_index(spark, sf_dir):
+    db = _database(spark, sf_dir)
+    db.execute("CREATE INDEX by_nation ON cust (c_nationkey)")
+    said = []
+    for statement in ("CREATE UNIQUE INDEX one ON cust (c_nationkey)", "CREATE UNIQUE INDEX two ON cust (c_name)", "INSERT INTO cust SELECT -c_custkey, c_name, 1, 1.0, 'x' FROM customer", "DROP INDEX two", "DROP SEQUENCE IF EXISTS none"):
+        try:
+            db.execute(statement)
+            said.append("done")
+        except ValueError:
+            said.append("refused")
+    return spark.createDataFrame([(" ".join(said),)], "said string")
+
+
+def sql_routines(spark, sf_dir):
+    """An anonymous block and a procedure that change a table, with variables bound in their SQL."""
+    db = _database(spark, sf_dir)
+    db.execute("DO $$ DECLARE least double := 0; BEGIN UPDATE cust SET c_nationkey = -1 WHERE c_acctbal < least; END $$")
+    db.execute("CREATE PROCEDURE counted(nation int, OUT n long) AS $$ BEGIN SELECT count(*) INTO n FROM cust WHERE c_nationkey = nation; END $$")
+    n = db.execute("CALL counted(-1)").first()["n"]
+    db.execute("DROP PROCEDURE IF EXISTS counted")
+    return db.execute(f"SELECT COUNT(*) AS rows, {n} AS n FROM cust")
+
+
+def sql_bound(spark, sf_dir):
+    text, args = tables.bind("SELECT c_custkey, '?' AS mark FROM customer WHERE c_mktsegment = ? AND c_nationkey > $2", ["BUILDING", 10])
+    return tables.sql(spark, sf_dir, text, args)
+
+
+def sql_query_stats(spark, sf_dir):
+    db = _database(spark, sf_dir)
+    for k in (3, 4, 5):
+        db.stats.run(spark, f"SELECT c_custkey FROM customer WHERE c_nationkey = {k}")
+    return db.execute("SHOW QUERY STATS").select("query", "calls", "rows")
+
+
+def sql_show_stats(spark, sf_dir):
+    db = _database(spark, sf_dir)
+    db.execute("ANALYZE cust")
+    return db.execute("SHOW STATS FOR cust").select("column_name", "row_count", F.col("distinct_values").cast("long").alias("distinct_values"))
+
+
+def sql_explain(spark, sf_dir):
+    lines = _database(spark, sf_dir).execute("EXPLAIN ANALYZE SELECT c_custkey FROM cust WHERE c_acctbal > 0")
+    return lines.filter("plan LIKE 'actual rows%'").select(F.regexp_extract("plan", r"(\d+)$", 1).cast("long").alias("n"))
+
+
+def maintenance(spark, sf_dir):
+    """A lake table with many files and deletes is compacted; one without is left alone."""
+    lake = LakeTable.create(spark, _folder(spark), _ORDERS)
+    for k in range(10):
+        lake.append(_orders(spark, sf_dir).filter(F.col("o_orderkey") % 10 == k))
+    lake.delete_where("o_orderstatus = 'F'")
+    first, second = stats.maintain(lake), stats.maintain(lake)
+    return lake.read().agg(F.count("*").alias("n"), F.lit(first is not None).alias("first"), F.lit(second is not None).alias("second"))
+
+
+def read_only(spark, sf_dir):
+    db = _database(spark, sf_dir)
+    db.read_only = True
+    try:
+        db.execute("DELETE FROM cust")
+        said = "deleted"
+    except PermissionError:
+        said = "refused"
+    return db.execute(f"SELECT COUNT(*) AS n, '{said}' AS said FROM cust")
+
+
+def session_values(spark, sf_dir):
+    """Times and session values, checked against each other: what they are changes."""
+    db = Database(spark, _folder(spark))
+    db.execute("SET MODE ORACLE")
+    db.execute("SET max_materialized_rows = 5")
+    db.execute("SET statement_timeout = 600000")
+    try:
+        db.execute("SELECT id FROM range(6)")
+        capped = False
+    except ValueError:
+        capped = True
+    out = db.execute("SELECT CURRENT_MODE AS mode, SYSDATE = current_timestamp() AS now, current_date() = CAST(SYSDATE AS DATE) AS today, length(version()) > 0 AS version, current_database() AS db FROM SYSIBM.SYSDUMMY1")
+    return out.withColumn("capped", F.lit(capped))
+
+
+def first_of_group(spark, sf_dir):
+    """A column that isn't grouped gives a value of the group; where it is one value only, that one."""
+    return tables.sql(spark, sf_dir, "SELECT o_custkey, any_value(c_name) AS c_name, COUNT(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey")
+
+
 # queues and caches -------------------------------------------------------------------------------
 
 
 def _queue(spark, sf_dir, **rules) -> QueueTable:
     q = QueueTable.create(spark, _folder(spark), "event_id long, payload string", **rules)
-    rows = tables.table(spark, sf_dir, "events").filter("event_id <= 500").select("event_id", F.col("props").alias("payload"), "ts")
+    rows = tables.table(spark, sf_dir, "events").select("event_id", F.col("props").alias("payload"), "ts", "event_type")
     at = F.col("ts").cast("timestamp")
-    for part in ("event_id <= 250", "event_id > 250"):
-        q.send(rows.filter(part), order=["event_id"], at=at)
+    for part in ("event_type IN ('view', 'click')", "event_type NOT IN ('view', 'click')"):
+        q.send(rows.filter(part).drop("event_type"), order=["event_id"], at=at)
     return q
 
 
@@ -265,13 +574,44 @@ def queue_ids(spark, sf_dir):
     return _queue(spark, sf_dir).read().select("_offset", F.substring_index(F.substring_index("_msg_id", "-", -2), "-", 1).cast("long").alias("in_id"), "event_id")
 
 
+def queue_scan(spark, sf_dir):
+    """Ranges of offsets only; anything else about the messages, and any change of them, is refused."""
+    q = _queue(spark, sf_dir)
+    refused = 0
+    for attempt in (lambda: q.read("payload = 'x'"), lambda: q.update({}), lambda: q.delete(), lambda: q.truncate(), lambda: q.create_index("payload")):
+        try:
+            attempt()
+        except ValueError:
+            refused += 1
+    return q.read("_offset >= 100 AND _offset < 300").select("_offset", "event_id", F.lit(refused).alias("refused"))
+
+
+def queue_outbox(spark, sf_dir):
+    """A queue and a table in one transaction: both changes, or neither."""
+    t, q = _customers(spark, sf_dir, _FIRST), QueueTable.create(spark, _folder(spark), "c_custkey long, props string")
+    rows = tables.table(spark, sf_dir, "customer").filter(f"NOT ({_FIRST})")
+    told = rows.select("c_custkey", F.to_json(F.struct(F.col("c_name").alias("name"))).alias("props"))
+    for fails in (True, False):
+        try:
+            with Transaction(t, q):
+                t.insert(rows)
+                q.send(told, order=["c_custkey"], correlation_id=F.col("c_custkey").cast("string"))
+                if fails:
+                    raise RuntimeError("stop")
+        except RuntimeError:
+            pass
+    messages = q.read().select(F.col("c_custkey").alias("k"), F.col("_correlation_id").alias("correlation"), F.get_json_object("props", "$.name").alias("name"))
+    return t.read().join(messages, F.col("c_custkey") == F.col("k"), "left").select("c_custkey", "correlation", "name")
+
+
 def _cache(spark, sf_dir) -> CacheTable:
     target = _customers(spark, sf_dir)
     cache = CacheTable.create(spark, _folder(spark), _CUSTOMER, ["c_custkey"], ttl="10s", target=target, mode="both")
     cache.clock.append(1_000_000)
-    cache.insert(_overlap(spark, sf_dir).filter("c_custkey <= 110"))
+    rows = tables.table(spark, sf_dir, "customer").withColumn("c_acctbal", F.lit(1.0))
+    cache.insert(rows.filter("c_nationkey < 10"))
     cache.clock.append(1_006_000)
-    cache.insert(_overlap(spark, sf_dir).filter("c_custkey > 110"))
+    cache.insert(rows.filter("NOT (c_nationkey < 10)"))
     return cache
 
 
@@ -283,7 +623,7 @@ def cache_ttl(spark, sf_dir):
 
 def cache_touch(spark, sf_dir):
     cache = _cache(spark, sf_dir)
-    cache.touch(F.col("c_custkey") < 90, "1 MINUTE")
+    cache.touch(F.col("c_custkey") % 5 == 0, "1 MINUTE")
     cache.clock.append(1_012_000)
     return cache.read().select("c_custkey")
 
@@ -328,10 +668,7 @@ def stream_dedup(spark, sf_dir):
 
 def _graph(spark, sf_dir) -> Graph:
     """Customers, orders and parts; customers place orders, orders contain parts."""
-    c = tables.table(spark, sf_dir, "customer").filter("c_custkey <= 60")
-    o = _orders(spark, sf_dir).join(c, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
-    lines = tables.table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
-    p = tables.table(spark, sf_dir, "part").join(lines, F.col("p_partkey") == F.col("l_partkey"), "left_semi")
+    c, o, lines, p = (tables.table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem", "part"))
     node = lambda df, key, base, label, **props: df.select((F.col(key) + base).alias("id"), F.array(F.lit(label)).alias("labels"), F.col(key).alias("key"), *[v.alias(k) for k, v in props.items()])
     nodes = [
         node(c, "c_custkey", 0, "Customer", name=F.col("c_name"), balance=F.col("c_acctbal")),
@@ -360,7 +697,7 @@ def graph_var_length(spark, sf_dir):
 
 
 def graph_shortest(spark, sf_dir):
-    return _graph(spark, sf_dir).cypher("MATCH p = shortestPath((c:Customer)-[*]-(d:Customer {key: 7})) WHERE c.key < 5 RETURN c.key AS customer, length(p) AS hops")
+    return _graph(spark, sf_dir).cypher("MATCH p = shortestPath((c:Customer)-[*]-(d:Customer {key: 7})) RETURN c.key AS customer, length(p) AS hops")
 
 
 def graph_optional(spark, sf_dir):
@@ -392,6 +729,19 @@ def graph_sql_join(spark, sf_dir):
     return db.execute("SELECT n_name, COUNT(*) AS n FROM CYPHER('shop', 'MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN c.key, o.key') AS g(ck, ok) JOIN customer ON ck = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 
 
+def graph_path_functions(spark, sf_dir):
+    """Parts of a path, as a table function gives them to SQL: lists as JSON."""
+    db = Database(spark, _folder(spark))
+    db.graphs["shop"] = _graph(spark, sf_dir)
+    text = "SELECT customer, size(from_json(ns, 'array<string>')) AS nodes, size(from_json(es, 'array<string>')) AS edges, hops FROM CYPHER('shop', 'MATCH p = (c:Customer)-[:PLACED]->(o:Order {status: ''P''}) RETURN c.key, nodes(p), relationships(p), length(p)') AS g(customer, ns, es, hops)"
+    return db.execute(text)
+
+
+def graph_counters(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return g.cypher("MATCH (c:Customer) WHERE c.balance < 0 SET c.name = 'poor'").select("nodes_created", "properties_set")
+
+
 def graph_virtual_tables(spark, sf_dir):
     g = _graph(spark, sf_dir)
     g.register()
@@ -401,6 +751,10 @@ def graph_virtual_tables(spark, sf_dir):
 # recursion, routines, administration ---------------------------------------------------------------
 
 
+def json_cast(spark, sf_dir):
+    return tables.sql(spark, sf_dir, "SELECT event_id, variant_get(parse_json(props), '$.k', 'bigint') AS k, schema_of_variant(parse_json(props)) LIKE 'OBJECT<%' AS object, array(event_id, user_id)[1] AS second FROM events")
+
+
 def cte_recursive_distinct(spark, sf_dir):
     """Numbers reached by k -> (7 k + 3) mod 50 from the regions: a graph with cycles."""
     start = tables.table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("k"))
@@ -499,75 +853,124 @@ def fts_inverted_index(spark, sf_dir):
     return search_index(index, "doc_id", ["the", "of"])
 
 
-_NAMES = """lake_append_read lake_time_travel lake_partition_prune lake_position_delete lake_compact lake_snapshots lake_files lake_join
-lake_schema_evolution dml_insert_select dml_upsert_nothing dml_upsert_update dml_update dml_update_from dml_delete dml_delete_using dml_merge dml_returning
-dml_truncate fk_cascade fk_set_null unique_guard transaction_rollback queue_receive queue_seek_ts queue_groups queue_retention_age
-queue_retention_bytes queue_ids cache_ttl cache_touch cache_flush cache_purge stream_tumbling stream_sliding stream_session stream_dedup
-graph_nodes graph_1hop graph_2hop graph_var_length graph_shortest graph_optional graph_agg graph_merge graph_delete graph_sql_join
-graph_virtual_tables cte_recursive_distinct udf_scalar routine_loop routine_exception routine_sql table_udf analyze_stats
+_NAMES = """lake_append_read lake_time_travel lake_partition_prune lake_position_delete lake_compact lake_snapshots lake_files lake_partitions
+lake_compaction_report lake_prune_types lake_backup_verify lake_join lake_schema_evolution dml_insert_select dml_upsert_nothing dml_upsert_update dml_update
+dml_update_from dml_delete dml_delete_using dml_merge dml_returning dml_truncate fk_cascade fk_set_null unique_guard transaction_rollback
+sql_on_conflict sql_on_conflict_nothing sql_on_duplicate_key sql_update_from sql_delete_using sql_merge sql_foreign_key sql_foreign_key_restrict
+sql_sequence sql_transaction sql_information_schema sql_pg_proc sql_match sql_script_roundtrip sql_backup_restore sql_external_table sql_views
+sql_show_columns sql_copy sql_alter_table sql_unique_index sql_routines sql_bound sql_query_stats sql_show_stats sql_explain maintenance read_only session_values
+first_of_group json_cast queue_receive queue_seek_ts queue_groups queue_retention_age
+queue_retention_bytes queue_ids queue_scan queue_outbox cache_ttl cache_touch cache_flush cache_purge stream_tumbling stream_sliding stream_session stream_dedup
+graph_nodes graph_1hop graph_2hop graph_var_length graph_shortest graph_optional graph_agg graph_merge graph_delete graph_sql_join graph_path_functions
+graph_counters graph_virtual_tables cte_recursive_distinct udf_scalar routine_loop routine_exception routine_sql table_udf analyze_stats
 copy_csv_roundtrip system_tables cursor_fetch script_run dialect_modes join_range agg_distinct_salted distinct_on fts_inverted_index""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
-_C100 = "(SELECT * FROM customer WHERE c_custkey <= 100)"
-_OVER = "(SELECT c_custkey, c_name, c_nationkey, 1.0::DOUBLE AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey BETWEEN 81 AND 140)"
-_EV = "(SELECT event_id, props, ts, row_number() OVER (ORDER BY event_id) - 1 AS off FROM events WHERE event_id <= 500)"
+_EV = "(SELECT event_id, props, ts, row_number() OVER (ORDER BY CASE WHEN event_type IN ('view', 'click') THEN 0 ELSE 1 END, event_id) - 1 AS off FROM events)"
 _TUMBLE = "SELECT date_trunc('day', ts) AS window_start, event_type, COUNT(*) AS n, CAST(SUM(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events GROUP BY 1, 2"
 _SLIDE = "SELECT time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR * k AS window_start, event_type, COUNT(*) AS n, CAST(SUM(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events, (SELECT unnest([0, 1, 2, 3]) AS k) GROUP BY 1, 2"
 _SESSION = """
 WITH a AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 b AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a)
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, COUNT(*) AS n FROM b GROUP BY user_id, s"""
-_SHOP_O = "(SELECT * FROM orders WHERE o_custkey <= 60)"
-_SHOP_L = f"(SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM {_SHOP_O}))"
-
 ORACLES = {
     "lake_append_read": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders",
     "lake_time_travel": "SELECT o_orderkey FROM orders WHERE o_orderkey <= 500",
     "lake_partition_prune": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000",
     "lake_position_delete": "SELECT o_orderkey, o_orderpriority FROM orders WHERE NOT o_orderpriority LIKE '1%'",
     "lake_compact": "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P'",
-    "lake_snapshots": "SELECT 0::BIGINT AS snapshot_id, 'create' AS operation, 0::BIGINT AS total_records, 0::BIGINT AS deleted_records UNION ALL SELECT 1, 'append', (SELECT COUNT(*) FROM orders WHERE o_orderkey <= 500), 0 UNION ALL SELECT 2, 'append', (SELECT COUNT(*) FROM orders), 0 UNION ALL SELECT 3, 'delete', (SELECT COUNT(*) FROM orders), (SELECT COUNT(*) FROM orders WHERE o_orderkey < 10)",
-    "lake_files": "SELECT '{\"o_orderstatus\": \"' || o_orderstatus || '\"}' AS partition, COUNT(*) AS record_count FROM orders GROUP BY 1",
+    "lake_snapshots": "SELECT 0::BIGINT AS snapshot_id, NULL::BIGINT AS parent_snapshot_id, 'create' AS operation, 0::BIGINT AS added_records, 0::BIGINT AS total_records UNION ALL SELECT 1, 0, 'append', COUNT(*), COUNT(*) FROM orders WHERE o_orderkey <= 500 UNION ALL SELECT 2, 1, 'append', COUNT(*) FILTER (o_orderkey > 500), COUNT(*) FROM orders UNION ALL SELECT 3, 2, 'delete', 0, COUNT(*) FROM orders WHERE NOT o_orderkey < 10",
+    "lake_files": "SELECT CASE WHEN o_orderkey <= 500 THEN 1 ELSE 2 END::BIGINT AS snapshot_id, 'PARQUET' AS file_format, COUNT(*) AS record_count, true AS sized FROM orders GROUP BY 1",
     "lake_join": "SELECT c_mktsegment, COUNT(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment",
-    "lake_schema_evolution": f"SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'poor' END AS note FROM {_C100}",
-    "dml_insert_select": f"SELECT c_custkey, c_name, c_nationkey FROM {_C100} UNION ALL SELECT c_custkey, c_name, NULL FROM customer WHERE c_custkey BETWEEN 101 AND 150",
-    "dml_upsert_nothing": f"SELECT c_custkey, c_acctbal FROM {_C100} UNION ALL SELECT c_custkey, 1.0 FROM {_OVER} WHERE c_custkey > 100",
-    "dml_upsert_update": f"SELECT c_custkey, round(CASE WHEN c_custkey > 80 AND c_nationkey > 5 THEN c_acctbal + 1 ELSE c_acctbal END, 2) AS c_acctbal FROM {_C100} UNION ALL SELECT c_custkey, 1.0 FROM {_OVER} WHERE c_custkey > 100",
-    "dml_update": f"SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_nationkey + 100 ELSE c_nationkey END AS c_nationkey, CASE WHEN c_acctbal > 0 THEN c_name || c_nationkey ELSE c_name END AS c_name FROM {_C100}",
-    "dml_update_from": f"SELECT c_custkey, coalesce(n_name, c_mktsegment) AS c_mktsegment FROM {_C100} LEFT JOIN (SELECT * FROM nation WHERE n_regionkey = 1) ON c_nationkey = n_nationkey",
-    "dml_delete": f"SELECT c_custkey FROM {_C100} WHERE NOT c_acctbal < 0",
-    "dml_delete_using": f"SELECT c_custkey FROM {_C100} WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)",
-    "dml_merge": f"SELECT c_custkey, round(CASE WHEN c_custkey > 80 THEN c_acctbal + 1 ELSE c_acctbal END, 2) AS c_acctbal FROM {_C100} WHERE NOT (c_custkey > 80 AND c_nationkey < 5) UNION ALL SELECT c_custkey, 1.0 FROM {_OVER} WHERE c_custkey > 100 AND c_nationkey > 3",
-    "dml_returning": f"SELECT c_custkey, 0 AS c_nationkey FROM {_C100} WHERE c_custkey <= 10",
+    "lake_schema_evolution": "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'poor' END AS note FROM customer",
+    "dml_insert_select": "SELECT c_custkey, c_name, CASE WHEN c_nationkey < 20 THEN c_nationkey END AS c_nationkey FROM customer",
+    "dml_upsert_nothing": "SELECT c_custkey, CASE WHEN c_nationkey < 20 THEN c_acctbal ELSE 1.0 END AS c_acctbal FROM customer",
+    "dml_upsert_update": "SELECT c_custkey, round(CASE WHEN c_nationkey BETWEEN 17 AND 19 THEN c_acctbal + 1 WHEN c_nationkey < 20 THEN c_acctbal ELSE 1.0 END, 2) AS c_acctbal FROM customer",
+    "dml_update": "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_nationkey + 100 ELSE c_nationkey END AS c_nationkey, CASE WHEN c_acctbal > 0 THEN c_name || c_nationkey ELSE c_name END AS c_name FROM customer",
+    "dml_update_from": "SELECT c_custkey, coalesce(n_name, c_mktsegment) AS c_mktsegment FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey = 1) ON c_nationkey = n_nationkey",
+    "dml_delete": "SELECT c_custkey FROM customer WHERE NOT c_acctbal < 0",
+    "dml_delete_using": "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)",
+    "dml_merge": "SELECT c_custkey, round(CASE WHEN c_nationkey < 15 THEN c_acctbal WHEN c_nationkey < 20 THEN c_acctbal + 1 ELSE 1.0 END, 2) AS c_acctbal FROM customer WHERE c_nationkey NOT IN (15, 16, 20, 21)",
+    "dml_returning": "SELECT c_custkey, 0 AS c_nationkey FROM customer WHERE c_acctbal < 0",
     "dml_truncate": "SELECT 0::BIGINT AS n",
-    "fk_cascade": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey <= 100 AND o_custkey % 3 <> 0",
-    "fk_set_null": "SELECT o_orderkey, CASE WHEN o_custkey % 3 <> 0 THEN o_custkey END AS o_custkey FROM orders WHERE o_custkey <= 100",
-    "unique_guard": f"SELECT COUNT(*) AS n, 'refused' AS said FROM {_C100}",
-    "transaction_rollback": f"SELECT COUNT(*) AS n FROM {_C100}",
+    "fk_cascade": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 3 <> 0",
+    "fk_set_null": "SELECT o_orderkey, CASE WHEN o_custkey % 3 <> 0 THEN o_custkey END AS o_custkey FROM orders",
+    "unique_guard": "SELECT COUNT(*) AS n, 'refused' AS said FROM customer",
+    "transaction_rollback": "SELECT COUNT(*) AS n FROM customer",
     "queue_receive": f"SELECT off AS _offset, event_id FROM {_EV} WHERE off BETWEEN 40 AND 64",
     "queue_seek_ts": f"SELECT min(off) AS first_offset, (SELECT COUNT(*) FROM {_EV}) - min(off) AS n FROM {_EV} WHERE ts >= (SELECT ts FROM {_EV} WHERE off = 100)",
     "queue_groups": "SELECT 'a' AS consumer, 30::BIGINT AS position UNION ALL SELECT 'b', 0",
     "queue_retention_age": f"SELECT min(off) AS first_offset, (SELECT COUNT(*) FROM {_EV}) - min(off) AS n FROM {_EV} WHERE ts >= (SELECT max(ts) FROM {_EV}) - INTERVAL 5 DAY",
     "queue_retention_bytes": f"SELECT min(off) AS first_offset, COUNT(*) AS n FROM (SELECT off, sum(64 + length(CAST(event_id AS VARCHAR)) + strlen(props)) OVER (ORDER BY off DESC) AS s FROM {_EV}) WHERE s <= 8192",
     "queue_ids": f"SELECT off AS _offset, off AS in_id, event_id FROM {_EV}",
-    "cache_ttl": "SELECT c_custkey FROM customer WHERE c_custkey BETWEEN 111 AND 140",
-    "cache_touch": "SELECT c_custkey FROM customer WHERE c_custkey BETWEEN 81 AND 89 OR c_custkey BETWEEN 111 AND 140",
-    "cache_flush": f"SELECT c_custkey, c_acctbal FROM {_C100} WHERE c_custkey <= 80 UNION ALL SELECT c_custkey, 1.0 FROM {_OVER} WHERE c_custkey > 110",
-    "cache_purge": "SELECT COUNT(*) FILTER (c_custkey > 110) AS left, COUNT(*) FILTER (c_custkey <= 110) AS gone FROM customer WHERE c_custkey BETWEEN 81 AND 140",
+    "cache_ttl": "SELECT c_custkey FROM customer WHERE NOT c_nationkey < 10",
+    "cache_touch": "SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0 OR NOT c_nationkey < 10",
+    "cache_flush": "SELECT c_custkey, 1.0::DOUBLE AS c_acctbal FROM customer WHERE NOT c_nationkey < 10",
+    "cache_purge": "SELECT COUNT(*) FILTER (NOT c_nationkey < 10) AS left, COUNT(*) FILTER (c_nationkey < 10) AS gone FROM customer",
     "stream_tumbling": _TUMBLE,
     "stream_sliding": _SLIDE,
     "stream_session": _SESSION,
     "stream_dedup": "SELECT DISTINCT event_type FROM events",
-    "graph_nodes": "SELECT c_custkey AS key, c_name AS name FROM customer WHERE c_custkey <= 60 AND c_acctbal > 5000",
-    "graph_1hop": f"SELECT o_custkey AS customer, o_orderkey AS order_key, 'PLACED' AS kind FROM {_SHOP_O} WHERE o_orderstatus = 'F'",
-    "graph_2hop": f"SELECT DISTINCT o_custkey AS customer, p_partkey AS part FROM {_SHOP_O} JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE p_size < 10 AND l_quantity > 20",
+    "graph_nodes": "SELECT c_custkey AS key, c_name AS name FROM customer WHERE c_acctbal > 5000",
+    "graph_1hop": "SELECT o_custkey AS customer, o_orderkey AS order_key, 'PLACED' AS kind FROM orders WHERE o_orderstatus = 'F'",
+    "graph_2hop": "SELECT DISTINCT o_custkey AS customer, p_partkey AS part FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE p_size < 10 AND l_quantity > 20",
     "graph_var_length": "SELECT * FROM (SELECT 'Order' AS label, (SELECT COUNT(*) FROM orders WHERE o_custkey = 4) AS n UNION ALL SELECT 'Part', (SELECT COUNT(*) FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey = 4)) WHERE n > 0",
-    "graph_optional": f"SELECT c_custkey AS customer, o_orderkey AS order_key FROM customer LEFT JOIN (SELECT * FROM {_SHOP_O} WHERE o_totalprice > 300000) ON c_custkey = o_custkey WHERE c_custkey <= 60",
-    "graph_agg": f"SELECT o_custkey AS customer, COUNT(*) AS n, MAX(o_totalprice) AS top FROM {_SHOP_O} GROUP BY o_custkey ORDER BY n DESC, customer LIMIT 10",
+    "graph_optional": "SELECT c_custkey AS customer, o_orderkey AS order_key FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) ON c_custkey = o_custkey",
+    "graph_agg": "SELECT o_custkey AS customer, COUNT(*) AS n, MAX(o_totalprice) AS top FROM orders GROUP BY o_custkey ORDER BY n DESC, customer LIMIT 10",
     "graph_merge": "SELECT 'known' AS a, 'new' AS b, 2020 AS since",
-    "graph_delete": f"SELECT o_orderstatus AS status, COUNT(*) AS n FROM {_SHOP_O} WHERE o_orderstatus <> 'F' GROUP BY o_orderstatus",
-    "graph_sql_join": f"SELECT n_name, COUNT(*) AS n FROM {_SHOP_O} JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
-    "graph_virtual_tables": f"SELECT 'Customer' AS label, (SELECT COUNT(*) FROM customer WHERE c_custkey <= 60) AS n, 0::BIGINT AS priced UNION ALL SELECT 'Order', (SELECT COUNT(*) FROM {_SHOP_O}), (SELECT COUNT(*) FROM {_SHOP_O}) UNION ALL SELECT 'Part', (SELECT COUNT(DISTINCT l_partkey) FROM {_SHOP_L}), 0",
+    "graph_delete": "SELECT o_orderstatus AS status, COUNT(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_orderstatus",
+    "graph_sql_join": "SELECT n_name, COUNT(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
+    "graph_virtual_tables": "SELECT 'Customer' AS label, (SELECT COUNT(*) FROM customer) AS n, 0::BIGINT AS priced UNION ALL SELECT 'Order', (SELECT COUNT(*) FROM orders), (SELECT COUNT(*) FROM orders) UNION ALL SELECT 'Part', (SELECT COUNT(*) FROM part), 0",
+    "lake_partitions": "SELECT '{\"o_orderstatus\": \"' || o_orderstatus || '\"}' AS partition, COUNT(*) AS record_count FROM orders GROUP BY 1",
+    "lake_compaction_report": "SELECT true AS compacted, true AS several_before, COUNT(*) AS total_records, 1::BIGINT AS delete_files_removed FROM orders WHERE o_orderstatus <> 'P'",
+    "lake_backup_verify": "SELECT COUNT(*) AS n, 0::BIGINT AS broken FROM orders WHERE NOT o_orderpriority LIKE '1%'",
+    "lake_prune_types": (
+        "WITH r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'nan'::DOUBLE ELSE o_totalprice END AS d, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 2 = 0 END AS b, o_orderdate AS moment, "
+        "o_orderkey + 1152921504606846976 AS big, CAST(o_totalprice AS DECIMAL(18,2)) AS dec, CASE WHEN o_orderkey % 7 > 0 THEN o_orderpriority END AS s FROM orders) "
+        "SELECT unnest(['nan_above', 'equal', 'true', 'not_true', 'before', 'since', 'big', 'decimal', 'text', 'date_of_time']) AS test, unnest([COUNT(*) FILTER (d > 1e9), COUNT(*) FILTER (k = 7), COUNT(*) FILTER (b), COUNT(*) FILTER (NOT b), "
+        "COUNT(*) FILTER (moment < TIMESTAMP '1995-06-01'), COUNT(*) FILTER (moment >= TIMESTAMP '1995-06-01'), COUNT(*) FILTER (big <= 1152921504606847977), COUNT(*) FILTER (dec > 150000.25), COUNT(*) FILTER (s >= '3'), "
+        "COUNT(*) FILTER (moment > TIMESTAMP '1995-06-01')]) AS n FROM r"
+    ),
+    "sql_on_conflict": "SELECT c_custkey, CASE WHEN c_nationkey BETWEEN 17 AND 19 THEN c_name || ', again' ELSE c_name END AS c_name, round(CASE WHEN c_nationkey BETWEEN 17 AND 19 THEN c_acctbal + 1 WHEN c_nationkey < 20 THEN c_acctbal ELSE 1.0 END, 2) AS c_acctbal FROM customer",
+    "sql_on_conflict_nothing": "SELECT c_custkey, CASE WHEN c_nationkey < 20 THEN c_acctbal ELSE 1.0 END AS c_acctbal FROM customer",
+    "sql_on_duplicate_key": "SELECT c_custkey, CASE WHEN c_nationkey < 15 THEN c_nationkey WHEN c_nationkey < 20 THEN c_nationkey + 1 END AS c_nationkey, CASE WHEN c_nationkey < 15 THEN c_acctbal WHEN c_nationkey < 20 THEN 10.0 ELSE 5.0 END AS c_acctbal FROM customer",
+    "sql_update_from": "SELECT c_custkey, CASE WHEN n_name IS NULL THEN c_mktsegment ELSE n_name || ', ' || c_mktsegment END AS c_mktsegment FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey = 1) ON c_nationkey = n_nationkey",
+    "sql_delete_using": "SELECT CASE WHEN n_regionkey = 2 THEN c_custkey END AS gone, CASE WHEN n_regionkey <> 2 THEN c_custkey END AS c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    "sql_merge": "SELECT c_custkey, round(CASE WHEN c_nationkey < 15 THEN c_acctbal WHEN c_nationkey < 20 THEN c_acctbal + 1 ELSE 1.0 END, 2) AS c_acctbal FROM customer WHERE c_nationkey NOT IN (15, 16, 20, 21)",
+    "sql_foreign_key": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 3 <> 0",
+    "sql_foreign_key_restrict": "SELECT COUNT(*) AS n, 'refused' AS said FROM customer",
+    "sql_sequence": "SELECT COUNT(*) + 1 AS n, 100::BIGINT AS least, 100 + 5 * COUNT(*) AS most, 100 + 5 * COUNT(*) AS now, 100 + 5 * COUNT(*) AS last FROM customer",
+    "sql_transaction": "SELECT c_acctbal < 0 AS poor, COUNT(*) AS n FROM customer GROUP BY 1",
+    "sql_information_schema": "SELECT 'cust' AS table_name, unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS column_name, unnest(['bigint', 'string', 'int', 'double', 'string']) AS data_type, unnest([false, true, true, true, true]) AS is_nullable, 5 AS columns_count, (SELECT COUNT(*) FROM customer) AS table_rows",
+    "sql_pg_proc": "SELECT * FROM (VALUES ('twice', 'f', 1, 'x'), ('nothing', 'p', 0, '')) t(proname, prokind, pronargs, proargnames)",
+    "sql_match": "SELECT doc_id, contains(t, 'th') AND contains(t, 'he') AND contains(t, 'ee') AND contains(t, 'er') AS hit FROM (SELECT doc_id, lower(regexp_replace(text, '[\\s!-/:-@\\[-`{-~]', '', 'g')) AS t FROM documents)",
+    "sql_script_roundtrip": "SELECT o_orderkey, CASE WHEN NOT c_acctbal < 0 THEN o_custkey END AS o_custkey FROM orders JOIN customer ON o_custkey = c_custkey",
+    "sql_backup_restore": "SELECT c_custkey, c_acctbal, 0 AS broken FROM customer",
+    "sql_external_table": "SELECT p_partkey, p_name, p_size, 2::BIGINT AS snapshots FROM part",
+    "sql_views": "SELECT c_nationkey, COUNT(*) AS n FROM customer WHERE c_acctbal > 5000 GROUP BY c_nationkey",
+    "sql_show_columns": "SELECT unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS column_name, unnest(['bigint', 'string', 'int', 'double', 'string']) AS data_type, unnest([false, true, true, true, true]) AS is_nullable",
+    "sql_copy": "SELECT c_custkey, c_name, NULL::VARCHAR AS note FROM customer WHERE c_acctbal > 0",
+    "sql_alter_table": "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'poor' END AS note FROM customer",
+    "sql_unique_index": "SELECT 'refused done refused done done' AS said",
+    "sql_routines": "SELECT COUNT(*) AS rows, COUNT(*) FILTER (c_acctbal < 0) AS n FROM customer",
+    "sql_bound": "SELECT c_custkey, '?' AS mark FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey > 10",
+    "sql_query_stats": "SELECT 'select c_custkey from customer where c_nationkey = ?' AS query, 3::BIGINT AS calls, COUNT(*) AS rows FROM customer WHERE c_nationkey IN (3, 4, 5)",
+    "sql_show_stats": "SELECT unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS column_name, COUNT(*) AS row_count, unnest([COUNT(DISTINCT c_custkey), COUNT(DISTINCT c_name), COUNT(DISTINCT c_nationkey), COUNT(DISTINCT c_acctbal), COUNT(DISTINCT c_mktsegment)]) AS distinct_values FROM customer",
+    "sql_explain": "SELECT COUNT(*) AS n FROM customer WHERE c_acctbal > 0",
+    "maintenance": "SELECT COUNT(*) AS n, true AS first, false AS second FROM orders WHERE o_orderstatus <> 'F'",
+    "read_only": "SELECT COUNT(*) AS n, 'refused' AS said FROM customer",
+    "session_values": "SELECT 'ORACLE' AS mode, true AS now, true AS today, true AS version, 'default' AS db, true AS capped",
+    "first_of_group": "SELECT o_custkey, min(c_name) AS c_name, COUNT(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey",
+    "json_cast": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_type(props) = 'OBJECT' AS object, user_id AS second FROM events",
+    "queue_scan": f"SELECT off AS _offset, event_id, 5 AS refused FROM {_EV} WHERE off BETWEEN 100 AND 299",
+    "queue_outbox": "SELECT c_custkey, CASE WHEN c_nationkey >= 20 THEN c_custkey::VARCHAR END AS correlation, CASE WHEN c_nationkey >= 20 THEN c_name END AS name FROM customer",
+    "graph_path_functions": "SELECT o_custkey AS customer, 2 AS nodes, 1 AS edges, 1 AS hops FROM orders WHERE o_orderstatus = 'P'",
+    "graph_counters": "SELECT 0::BIGINT AS nodes_created, COUNT(*) AS properties_set FROM customer WHERE c_acctbal < 0",
+    "graph_shortest": (
+        "WITH RECURSIVE e(a, b) AS (SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem), "
+        "u(a, b) AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(node, hops) AS (SELECT 'c7', 0 UNION SELECT b, hops + 1 FROM r JOIN u ON node = a WHERE hops < 8) "
+        "SELECT CAST(substr(node, 2) AS BIGINT) AS customer, min(hops) AS hops FROM r WHERE node LIKE 'c%' AND node <> 'c7' GROUP BY node"
+    ),
     "cte_recursive_distinct": "WITH RECURSIVE r(k) AS (SELECT CAST(r_regionkey AS BIGINT) FROM region UNION SELECT (k * 7 + 3) % 50 FROM r) SELECT k FROM r",
     "udf_scalar": "SELECT p_partkey, round(p_retailprice * (1 + 0.1::DOUBLE), 2) AS v FROM part",
     "routine_loop": "SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT), (10, 25), (99, 2500)) t(n, s)",
