@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .storage import materialize, ship_package
+from .storage import discard, materialize, ship_package
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
@@ -227,13 +227,16 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        edges = materialize(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct(), "edges")
+        last, edges = edges, materialize(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct(), "edges")
+        discard(last)
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if before == state:
             break
         before = state
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("class", F.col("node"))
-    return materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("class")).unionByName(roots), "classes")
+    out = materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("class")).unionByName(roots), "classes")
+    discard(edges)
+    return out
 
 
 def _semi(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -324,7 +327,9 @@ def _confirmed(members: DataFrame, sets: DataFrame, classes: DataFrame | None, p
     alike = materialize(blocks.applyInArrow(near, "band int, key long, node long").distinct(), "alike")
     left = asked.drop("sketch").join(alike, ["band", "key", "node"])
     late = materialize(found.unionByName(_in_buckets(_in_blocks(left, percent).select(*columns, "asks"), sets, percent)).distinct(), "links")
-    return late, components(all_links(late))
+    both = components(all_links(late))
+    discard(found, made, asked, alike)
+    return late, both
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -336,11 +341,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     shared = keys.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     members = materialize(keys.join(shared.drop("n"), ["band", "key"]).select("band", "key", "node", "fp", "size").hint("rebalance"), "members")
     wanted = members.select(F.col("node").alias("doc_id"), "fp").distinct()
-    texts = _semi(docs.select("doc_id", "text"), materialize(wanted.select("doc_id").distinct(), "wanted"))
+    ids = materialize(wanted.select("doc_id").distinct(), "wanted")
+    texts = _semi(docs.select("doc_id", "text"), ids)
     own = full_sets(texts).dropDuplicates(["fp"]).join(distinct.select("fp", "sketch"), "fp")
     sets = materialize(own, "sets")
-    _, classes = _confirmed(members.filter(F.col("band") < FIRST_BANDS), sets, None, percent)
-    _, classes = _confirmed(members.filter(F.col("band") >= FIRST_BANDS), sets, classes, percent)
+    first, early = _confirmed(members.filter(F.col("band") < FIRST_BANDS), sets, None, percent)
+    rest, classes = _confirmed(members.filter(F.col("band") >= FIRST_BANDS), sets, early, percent)
+    discard(members, ids, sets, first, rest, early)  # the result reads signatures, distinct sets and classes
     final = _with_classes(distinct.select("fp", "node"), classes).select("fp", F.col("class").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "fp").join(final, "fp", "left")
     component = F.coalesce("component_id", "doc_id")

@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -19,7 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset (local mode)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="basalt-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -34,7 +35,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/basalt/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[id(out)] = (weakref.ref(out, lambda _, k=id(out): _written.pop(k, None)), path)
+    return out
+
+
+_written: dict[int, tuple] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` has written and nothing will read again, its own lost tasks included."""
+    for df in tables:
+        known = _written.pop(id(df), None)
+        if known:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(known[1])
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def sample_limit(wanted: float, total: int) -> int:
