@@ -13,7 +13,7 @@ which taking one away undoes; in roles a backslash and a line feed are written a
 The log is folded in two shuffles, by message and then by conversation; what is collected for a
 conversation is its own rendered turns, as its output row is one string.
 
-Defined results: null texts and roles are empty; events of equal ``seq`` follow in the order of kind,
+Defined results: null texts and roles are empty; very long texts are rendered whole; events of equal ``seq`` (a tie) follow in the order of kind,
 role and text; repeated message rows are messages of their own; a delta, edit or regeneration without a
 message makes one; an empty log gives no rows; other columns are ignored.
 """

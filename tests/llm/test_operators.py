@@ -8,6 +8,8 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from basalt.llm import chat, decontaminate, language_id, neardup, packing, pii, quality, sharding, tokenfiles, urlfilter
@@ -409,6 +411,136 @@ def test_what_only_looks_personal_stays(spark):
     assert [r["pii_kinds"] for r in got if r["doc_id"] == 7] == [["card", "ip"]]
 
 
+class PlainSurrogates:
+    """Detection and surrogates by plain loops over one text."""
+
+    def __init__(self, key):
+        self.key = key
+        self.any = regex.compile("|".join(f"(?:{p})" for p in pii.PATTERNS.values()))
+        self.whole = {k: regex.compile(f"(?:{p})") for k, p in pii.PATTERNS.items()}
+
+    def kind(self, e):
+        for k, p in self.whole.items():
+            if p.fullmatch(e):
+                bare = regex.sub("[^A-Za-z0-9]", "", e)
+                if k == "card" and self.luhn(bare) or k == "iban" and " " not in e and self.account(bare) != 1:
+                    return None
+                return k
+        return "secret"
+
+    def luhn(self, digits):
+        return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits))) % 10
+
+    def account(self, x):
+        return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+    def shift(self, *parts):
+        return int.from_bytes(xxhash.xxh64_digest("\x1f".join(parts).encode(), seed=42), "big", signed=True) % 1_000_000_007
+
+    def move(self, c, by):
+        for a in pii._ALPHABETS:
+            if c in a:
+                return a[(a.index(c) + by) % len(a)]
+        for a, b in pii._RANGES:
+            if a <= ord(c) <= b:
+                return chr(a + (ord(c) - a + by) % (b - a + 1))
+        return c
+
+    def permuted(self, text, seed):
+        if len(text) > pii.LONG:
+            digest = hashlib.sha256(f"{seed}\x1f{text.lower()}".encode()).hexdigest()
+            return "".join(self.move(c, self.shift(digest, str(i))) for i, c in enumerate(text))
+        text = "".join(self.move(c, self.shift(seed, "f", text[:i].lower())) for i, c in enumerate(text))
+        return "".join(self.move(c, self.shift(seed, "b", text[i + 1 :].lower())) for i, c in enumerate(text))
+
+    def turned(self, parts, by):
+        for k, p in enumerate(parts):
+            for i, c in enumerate(p):
+                if self.move(c, 1) != c or any(c in a for a in pii._ALPHABETS):
+                    return [*parts[:k], p[:i] + self.move(c, by) + p[i + 1 :], *parts[k + 1 :]]
+        return parts
+
+    def without_fixed_points(self, parts, seed):
+        image = lambda x: [self.permuted(p, seed) for p in x]
+        made, before = image(parts), self.turned(parts, -1)
+        if made == parts:
+            return image(self.turned(parts, 1))
+        if image(before) != before:
+            return made
+        while image(back := self.turned(before, -1)) == back:
+            before = back
+        return before
+
+    def octets(self, e, seed):
+        def one(x, i, way, beside):
+            by = self.shift(seed, f"{way}{i}", beside)
+            if i:
+                return (x + by) % 256
+            return (x - 1 + by) % 223 + 1 if 1 <= x <= 223 else (x - 224 + by) % 32 + 224 if x > 223 else x
+
+        def image(p):
+            p = [one(x, i, "f", ".".join(map(str, p[:i]))) for i, x in enumerate(p)]
+            return [one(x, i, "b", ".".join(map(str, p[i + 1 :]))) for i, x in enumerate(p)]
+
+        step = lambda p, by: [*p[:3], (p[3] + by) % 256]
+        p = [int(x) for x in e.split(".")]
+        made, before = image(p), step(p, -1)
+        if made == p:
+            made = image(step(p, 1))
+        elif image(before) == before:
+            while image(back := step(before, -1)) == back:
+                before = back
+            made = before
+        return ".".join(map(str, made))
+
+    def surrogate(self, e):
+        kind = self.kind(e)
+        seed = f"{self.key}/0/{kind}"
+        if kind is None:
+            return e
+        if kind == "ip":
+            return self.octets(e, seed)
+        laid_out = kind in ("card", "phone", "ssn", "iban")
+        core = regex.sub("[^A-Za-z0-9+]", "", e) if laid_out else e
+        kept = regex.compile(pii._KEPT.get(kind, "(?!)"))
+        parts, keeps, at = [], [], 0
+        for m in kept.finditer(core):
+            parts, keeps, at = [*parts, core[at : m.start()]], [*keeps, m[0]], m.end()
+        parts = self.without_fixed_points([*parts, core[at:]], seed)
+        made = "".join(p + k for p, k in zip(parts, [*keeps, ""], strict=True))
+        if kind == "card":
+            made = next(made[:-1] + d for d in "0123456789" if self.luhn(made[:-1] + d) == self.luhn(core))
+        if kind == "iban":
+            right = lambda x: 98 - self.account(x[:2] + "00" + x[4:])
+            made = made[:2] + f"{(right(made) + int(core[2:4]) - right(core)) % 100:02d}" + made[4:]
+        if laid_out:
+            chars = iter(made)
+            made = "".join(next(chars) if regex.match("[A-Za-z0-9+]", c) else c for c in e)
+        return made
+
+    def text(self, t):
+        return None if t is None else self.any.sub(lambda m: self.surrogate(m[0]), t)
+
+
+def test_surrogates_are_those_of_plain_loops(spark, odd_docs):
+    rng = random.Random(12)
+    some = lambda chars, n: "".join(rng.choices(chars, k=n))
+    digits, letters = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    texts = [" and ".join(rng.sample(list(PERSONAL), 4)) for _ in range(30)]
+    texts += [f"{some(letters, 2)}@{some('aeiou', 1)}.org, {some(digits, 3)}-{some(digits, 2)}-{some(digits, 4)}; Mr. {some('BLR', 1)}{some('aeiou', 1)}{some('en', 1)}" for _ in range(120)]
+    texts += [".".join(str(rng.choice([0, 1, 9, 223, 224, 255])) for _ in range(4)) for _ in range(120)]
+    texts += [f"card {some(digits, 16)} or 4111 1111 1111 1111, +49 {some(digits, 3)} {some(digits, 6)}, DE{some(digits, 2)} {some(digits, 4)} {some(digits, 4)} {some(digits, 4)}" for _ in range(60)]
+    texts += [f"secret={some(letters + digits, 500)} Mme {some('ÉÀ', 1)}{some('éçñ', 4)} Κύριος Παύλος Mr. 王小明 {'x' * 3000} token: a1b2c3", *PERSONAL]
+    sample = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    df = spark.createDataFrame(list(enumerate(texts, 10**6)), "doc_id long, text string").unionByName(sample).unionByName(odd_docs.filter("doc_id <> 11").select("doc_id", "text"))
+    plain = PlainSurrogates(pii.DEFAULT_KEY)
+    want = {(r["doc_id"], r["text"]): plain.text(r["text"]) for r in df.collect()}
+    got = pii.replace_entities(df.withColumn("old", F.col("text"))).collect()
+    assert len(got) == df.count()
+    wrong = [(r["old"], r["text"], want[r["doc_id"], r["old"]]) for r in got if r["text"] != want[r["doc_id"], r["old"]]]
+    assert not wrong, wrong[:3]
+
+
 # 6 near duplicates -------------------------------------------------------------------------------
 
 
@@ -600,12 +732,33 @@ def test_urls(spark):
 
 
 def test_digest_array_survives_collisions(tmp_path, monkeypatch):
-    monkeypatch.setattr(urlfilter.xxhash, "xxh64_intdigest", lambda s: len(s))
+    monkeypatch.setattr(urlfilter, "digest", len)
     urlfilter.Digests.write(str(tmp_path / "d"), [b"aa", b"bb", b"ccc"])
     held = urlfilter.Digests(str(tmp_path / "d"))
     assert held.contains([b"bb", b"xx", b"aa", b"ccc", b"d", b"longer"]).tolist() == [True, False, True, True, False, False]
 
 
+def test_listed_urls_come_as_a_table(spark, tmp_path):
+    rng = random.Random(6)
+    hosts = [f"h{rng.randrange(10**6)}.example" for _ in range(3000)] + ["É.example", "h.example"]
+    urls = [f"x://u{k}.example/a?b={k}" for k in range(500)]
+    listed = spark.createDataFrame([(h, None) for h in hosts] + [(None, u) for u in urls] + [(None, None), (hosts[0], urls[0])], "host string, url string")
+    tests = [f"x://{h}/p" for h in hosts[::7]] + urls[::5] + ["x://free.example/", "x://u1.example/a", "x://www.h.example/"]
+    pages = spark.createDataFrame(list(enumerate(tests)), "page_id long, url string").repartition(3)
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.judge_urls(pages, listed=listed).collect()}
+    blocked = set(urls) | {f"x://{h}/p" for h in hosts}
+    assert [got[k] for k in range(len(tests))] == ["block" if u in blocked else "allow" for u in tests]
+    own = spark.createDataFrame([(b"abc",), (b"",), ("é".encode(),)], "s binary").select("s", F.xxhash64("s").alias("k")).collect()
+    assert all(urlfilter.digest(bytes(r["s"])) == r["k"] for r in own)
+
+
+def test_equally_long_rules(spark):
+    rules = (("allow", "a.com", "/xyz"), ("block", "b.a.com", "/x"), ("allow", "c.com", "/"), ("block", "c.com", "/"), ("allow", "e.d.com", "/"), ("allow", "d.com", "/x/"))
+    df = spark.createDataFrame([(1, "x://b.a.com/xyz"), (2, "x://c.com/"), (3, "x://e.d.com/x/")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.judge_urls(df, rules).collect()}
+    assert got == {1: ("b.a.com/x", "block"), 2: ("c.com/", "block"), 3: ("e.d.com/", "allow")}
+
+
 # 9 token files -----------------------------------------------------------------------------------
 
 
