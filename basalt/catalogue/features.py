@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime
 import decimal
+import time
 import uuid
 from functools import reduce
 
@@ -635,6 +636,18 @@ def cache_flush(spark, sf_dir):
     return cache.target.read().select("c_custkey", "c_acctbal")
 
 
+def cache_write_behind(spark, sf_dir):
+    """The background flush writes to the target what the cache holds, without being asked."""
+    target = _customers(spark, sf_dir, _FIRST)
+    cache = CacheTable.create(spark, _folder(spark), _CUSTOMER, ["c_custkey"], target=target)
+    cache.insert(_overlap(spark, sf_dir))
+    thread = cache.write_behind("50 MS")
+    while not thread.flushes and len(thread.errors) < 5:
+        time.sleep(0.05)
+    thread.stop()
+    return target.read().select("c_custkey", "c_acctbal")
+
+
 def cache_purge(spark, sf_dir):
     cache = _cache(spark, sf_dir)
     cache.clock.append(1_012_000)
@@ -860,7 +873,7 @@ sql_on_conflict sql_on_conflict_nothing sql_on_duplicate_key sql_update_from sql
 sql_sequence sql_transaction sql_information_schema sql_pg_proc sql_match sql_script_roundtrip sql_backup_restore sql_external_table sql_views
 sql_show_columns sql_copy sql_alter_table sql_unique_index sql_routines sql_bound sql_query_stats sql_show_stats sql_explain maintenance read_only session_values
 first_of_group json_cast queue_receive queue_seek_ts queue_groups queue_retention_age
-queue_retention_bytes queue_ids queue_scan queue_outbox cache_ttl cache_touch cache_flush cache_purge stream_tumbling stream_sliding stream_session stream_dedup
+queue_retention_bytes queue_ids queue_scan queue_outbox cache_ttl cache_touch cache_flush cache_write_behind cache_purge stream_tumbling stream_sliding stream_session stream_dedup
 graph_nodes graph_1hop graph_2hop graph_var_length graph_shortest graph_optional graph_agg graph_merge graph_delete graph_sql_join graph_path_functions
 graph_counters graph_virtual_tables cte_recursive_distinct udf_scalar routine_loop routine_exception routine_sql table_udf analyze_stats
 copy_csv_roundtrip system_tables cursor_fetch script_run dialect_modes join_range agg_distinct_salted distinct_on fts_inverted_index""".split()
@@ -906,6 +919,7 @@ ORACLES = {
     "cache_ttl": "SELECT c_custkey FROM customer WHERE NOT c_nationkey < 10",
     "cache_touch": "SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0 OR NOT c_nationkey < 10",
     "cache_flush": "SELECT c_custkey, 1.0::DOUBLE AS c_acctbal FROM customer WHERE NOT c_nationkey < 10",
+    "cache_write_behind": "SELECT c_custkey, CASE WHEN c_nationkey < 15 THEN c_acctbal ELSE 1.0 END AS c_acctbal FROM customer",
     "cache_purge": "SELECT COUNT(*) FILTER (NOT c_nationkey < 10) AS left, COUNT(*) FILTER (c_nationkey < 10) AS gone FROM customer",
     "stream_tumbling": _TUMBLE,
     "stream_sliding": _SLIDE,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import threading
 import time
 from dataclasses import dataclass, field
 
@@ -248,3 +249,35 @@ class CacheTable:
                 on = same if on is None else on & same
             self.target.delete(using=keys, on=on)
         return written, self.purge_expired()
+
+    def write_behind(self, every: str) -> WriteBehind:
+        """Flush in the background, again and again, until it is stopped."""
+        return WriteBehind(self, parse_duration(every) / 1000)
+
+
+class WriteBehind(threading.Thread):
+    """A thread that flushes a cache; what goes wrong is kept in ``errors`` and tried again at the next turn."""
+
+    def __init__(self, cache: CacheTable, seconds: float):
+        super().__init__(daemon=True)
+        self.cache, self.seconds = cache, seconds
+        self.stopping = threading.Event()
+        self.flushes, self.errors = 0, []
+        self.start()
+
+    def run(self) -> None:
+        while not self.stopping.wait(self.seconds):
+            self._turn()
+
+    def _turn(self) -> None:
+        try:
+            self.cache.flush()
+            self.flushes += 1
+        except Exception as e:  # another writer's commit, most likely
+            self.errors.append(e)
+
+    def stop(self) -> None:
+        """End the thread after a last flush."""
+        self.stopping.set()
+        self.join()
+        self._turn()
