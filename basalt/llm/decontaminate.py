@@ -3,7 +3,7 @@
 Words of items are numbered; the automaton of a block of items (built item by item, so no match runs
 across two items) is written as plain arrays to a file, which every executor maps into memory.  Training
 text is mapped to word numbers by numpy.  Runs of words that items know, at least as long as the shortest
-window, are cut into segments that overlap by a window less one word; all segments of a megabyte of text
+window, are cut into segments that overlap by a window less one word; all segments of a block of text
 walk the automaton in step, which gives the longest matching length at every word.
 
 Items are taken in blocks of ``BLOCK_WORDS`` words: the driver and the builder hold one block at a time, and a
@@ -41,7 +41,7 @@ BLOCK_WORDS = 200_000
 #: A document is dropped if more of its words than this are hit; else the hit spans are cut out.
 MAX_COVERAGE = 0.5
 #: Words of a run that one segment walks, besides the overlap.
-SEGMENT = 64
+SEGMENT = 32
 
 
 def item_words(text: bytes) -> list[bytes]:

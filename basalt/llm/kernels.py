@@ -1,6 +1,6 @@
 """Vectorised byte kernels over Arrow batches: words, word hashes and windows of words.
 
-Texts arrive as UTF-8 bytes.  A batch is cut into blocks of about a megabyte at document ends, so
+Texts arrive as UTF-8 bytes.  A batch is cut into blocks of about a quarter of a megabyte at document ends, so
 temporary arrays stay bounded whatever the batch; a longer document makes a block of its own.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 U64 = np.uint64
 
 SPACE = np.zeros(256, dtype=bool)
@@ -74,6 +74,7 @@ def blocks(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, int, np.ndar
         end = min(max(end, first + 1), rows)
         yield first, end, data[bounds[first] : bounds[end]], bounds[first : end + 1] - bounds[first]
         first = end
+    pa.default_memory_pool().release_unused()  # a worker goes on to other tasks; what this batch took goes back
 
 
 def words(data: np.ndarray, bounds: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
