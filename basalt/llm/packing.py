@@ -34,6 +34,8 @@ from .tokenization import default_path, encoder
 CAPACITY = 4096
 #: Pieces of one length that are ranked together; a commoner length is split by a hash of the piece.
 RANKED_TOGETHER = 20_000
+#: Bytes of ids that are ranked together, where pieces bring them along.
+BYTES_TOGETHER = 16 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -212,9 +214,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             out = out.append_column("offset", pa.array(run[:, 4] + i % run[:, 2] * x, pa.int64()))
             yield from out.to_batches()
 
-    salts = pieces.sparkSession.createDataFrame(
-        [(x, math.ceil(n / RANKED_TOGETHER)) for x, n in counted.items()], "length long, _salts long"
-    )
+    together = lambda x: max(1, min(RANKED_TOGETHER, BYTES_TOGETHER // (4 * x))) if "ids" in columns else RANKED_TOGETHER
+    salts = pieces.sparkSession.createDataFrame([(x, math.ceil(n / together(x))) for x, n in counted.items()], "length long, _salts long")
     deal = F.xxhash64("_deal") if "_deal" in pieces.columns else F.xxhash64("doc_id", "piece")
     keyed = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(deal, "_salts"))
     sizes = keyed.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
