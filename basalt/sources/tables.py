@@ -11,8 +11,18 @@ from pyspark.sql.types import StructType
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+_schemas: dict[tuple, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A base table; its schema is read from the files once, and again when they have changed."""
+    path = f"{sf_dir}/{name}.parquet"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+    key = (spark.sparkContext.applicationId, path, status.getModificationTime(), status.getLen())
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
 
 
 def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
