@@ -41,6 +41,8 @@ _ALPHABETS = ("0123456789", *_VOWELS, *_CONSONANTS, *(x.upper() for x in (*_VOWE
 # Scripts whose letters form one class each: first and last code point.
 _RANGES = ((0x05D0, 0x05EA), (0x0621, 0x063A), (0x0641, 0x064A), (0x0905, 0x0939), (0x0E01, 0x0E2E), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
 
+_RANGE_ROWS = "array(" + ", ".join(f"named_struct('a', {a}L, 'b', {b}L)" for a, b in _RANGES) + ")"
+
 # Every quantifier over a group is bounded and every unbounded one is over a single class, as Java's matcher calls
 # itself once a turn of a group; no unbounded run can start inside another one, so time stays linear.
 _EDGE, _END = r"(?<![A-Za-z0-9_\p{L}\p{N}])", r"(?![A-Za-z0-9_\p{L}\p{N}])"
@@ -144,10 +146,11 @@ def _shifted(char: Column, shift: Column) -> Column:
         to = begin + F.pmod(at - begin - 1 + shift, size).cast("int") + 1
         return F.when(at > 0, F.substr(F.lit(_ALL), to, F.lit(1))).otherwise(beyond)
 
-    code, beyond = F.ascii(char), char
-    for least, most in _RANGES:
-        to = least + F.pmod(code - least + shift, F.lit(most - least + 1)).cast("int")
-        beyond = F.when(code.between(least, most), F.decode(F.unhex(F.lpad(F.hex(to), 4, "0")), "UTF-16BE")).otherwise(beyond)
+    def in_range(kept: Column, r: Column) -> Column:
+        to = r["a"] + F.pmod(F.ascii(char) - r["a"] + shift, r["b"] - r["a"] + 1)
+        return F.when(F.ascii(char).between(r["a"], r["b"]), F.decode(F.unhex(F.lpad(F.hex(to), 4, "0")), "UTF-16BE")).otherwise(kept)
+
+    beyond = F.aggregate(F.expr(_RANGE_ROWS), char, in_range)
     return _let(F.instr(F.lit(_ALL), char), moved)
 
 
