@@ -349,7 +349,7 @@ def sql_sequence(spark, sf_dir):
     db.execute("CREATE TABLE numbered (id BIGINT PRIMARY KEY, k BIGINT)")
     db.execute("INSERT INTO numbered SELECT NEXTVAL('ids') AS id, c_custkey FROM cust")
     db.execute("INSERT INTO numbered VALUES (ids.NEXTVAL, -1)")
-    return db.execute("SELECT COUNT(DISTINCT id) AS n, MIN(id) AS least, MAX(id) AS most, ids.CURRVAL AS now, MAX(CASE WHEN k < 0 THEN id END) AS last FROM numbered")
+    return db.execute("SELECT COUNT(DISTINCT id) AS n, MIN(id) AS least, MAX(id) AS most, CAST(ids.CURRVAL AS BIGINT) AS now, MAX(CASE WHEN k < 0 THEN id END) AS last FROM numbered")
 
 
 def sql_transaction(spark, sf_dir):
@@ -456,7 +456,7 @@ def sql_routines(spark, sf_dir):
     db.execute("CREATE PROCEDURE counted(nation int, OUT n long) AS $$ BEGIN SELECT count(*) INTO n FROM cust WHERE c_nationkey = nation; END $$")
     n = db.execute("CALL counted(-1)").first()["n"]
     db.execute("DROP PROCEDURE IF EXISTS counted")
-    return db.execute(f"SELECT COUNT(*) AS rows, {n} AS n FROM cust")
+    return db.execute(f"SELECT COUNT(*) AS rows, CAST({n} AS BIGINT) AS n FROM cust")
 
 
 def sql_bound(spark, sf_dir):
