@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from basalt.operators.recursive import RecursionLimit, recursive
 from basalt.plans.dialect import Database
-from basalt.plans.text import assignments, bracketed, literal, qualify, split_top
+from basalt.plans.text import assignments, bracketed, clauses, literal, qualify, split_top
 from basalt.sources import tables
 from basalt.sources.lake import CommitConflict, LakeTable
 from basalt.sources.mutable import ConstraintError, ForeignKey, MutableTable, Sequence
@@ -129,6 +129,9 @@ def test_text_is_split_outside_quotes_and_brackets():
     assert assignments("t.a = 'x = y', b = CASE WHEN c = 1 THEN 'it''s' END") == {"a": "'x = y'", "b": "CASE WHEN c = 1 THEN 'it''s' END"}
     sides = [("t", "a"), ("t", "b"), ("s", "b"), ("s", "c")]
     assert qualify("x.a + b = c and f(b) = 'b.c' and other", {"x": "t"}, sides) == "t.a + t.b = s.c and f(t.b) = 'b.c' and other"
+    told = clauses("a = EXTRACT(YEAR FROM d), b = ' FROM x', c = (SELECT 1 FROM y WHERE z) from s, u  where t.from_id = 1 RETURNING *", "FROM", "WHERE", "RETURNING")
+    assert told == {"": "a = EXTRACT(YEAR FROM d), b = ' FROM x', c = (SELECT 1 FROM y WHERE z)", "FROM": "s, u", "WHERE": "t.from_id = 1", "RETURNING": "*"}
+    assert clauses("x ON  CONFLICT do", "ON CONFLICT", "RETURNING") == {"": "x", "ON CONFLICT": "do", "RETURNING": None}
     assert bracketed("(a, f(b), ')') rest") == "a, f(b), ')'"
     assert literal("it's \\ x") == "'it\\u0027s \\u005c x'"
 
@@ -140,6 +143,9 @@ def test_statements_take_values_as_literals(spark, tmp_path):
     db.execute("UPDATE t SET name = :n WHERE id = :i", {"n": "x', id = 9 --", "i": 2})
     assert values(db.execute("SELECT * FROM t")) == [(1, "a"), (2, "x', id = 9 --")]
     assert db.execute("SELECT name FROM t WHERE name = :n", {"n": "x', id = 9 --"}).count() == 1
+    db.execute("UPDATE t SET name = concat(' from ', CAST(EXTRACT(YEAR FROM DATE '2024-02-03') AS STRING)) WHERE id = 1 RETURNING id")
+    db.execute("MERGE INTO t USING (SELECT a.id AS k FROM t a JOIN t b ON a.id = b.id) s ON t.id = s.k WHEN MATCHED AND s.k = 2 THEN DELETE")
+    assert values(db.execute("SELECT * FROM t")) == [(1, " from 2024")]
 
 
 def test_lake_snapshots_do_not_change(spark, tmp_path):
