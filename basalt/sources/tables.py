@@ -11,24 +11,29 @@ from pyspark.sql.types import StructType
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-_schemas: dict[tuple, StructType] = {}
+_known: dict[tuple, DataFrame] = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table; its schema is read from the files once, and again when they have changed."""
+def _scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A base table, listed and its schema read once, and again when its files have changed."""
     path = f"{sf_dir}/{name}.parquet"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     status = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
     key = (spark.sparkContext.applicationId, path, status.getModificationTime(), status.getLen())
-    if key not in _schemas:
-        _schemas[key] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[key]).parquet(path)
+    if key not in _known:
+        _known[key] = spark.read.parquet(path)
+    return _known[key]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A base table as a relation of its own, so that it can be joined with itself."""
+    return spark.read.schema(_scan(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Make base tables available to SQL text; scans stay lazy, pruned and pushed down."""
     for name in names:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+        _scan(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
 def sql(spark: SparkSession, sf_dir: str, text: str, args=None) -> DataFrame:
