@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .storage import sample_limit, sampled, ship_package
+from .storage import release_freed, sample_limit, sampled, ship_package
 
 BUCKETS = 1 << 15
 DIMENSIONS = 16
@@ -210,7 +210,9 @@ def _examples(docs: DataFrame, sample_rows: int) -> list[Example]:
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Learn from text and non-null ``lang`` of rows outside fold 2."""
     ship_package(docs.sparkSession)
-    return fit(_examples(docs, sample_rows))
+    model = fit(_examples(docs, sample_rows))
+    release_freed(docs.sparkSession)
+    return model
 
 
 def fit(examples: list[Example]) -> LanguageModel:

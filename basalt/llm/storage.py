@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import re
 import tempfile
 import uuid
@@ -10,6 +12,8 @@ import weakref
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,9 +41,46 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _written[id(out)] = (weakref.ref(out, lambda _, k=id(out): _written.pop(k, None)), path)
+    release_freed(df.sparkSession)
     return out
 
 
+def release_freed(spark: SparkSession) -> None:
+    """Give back to the system what the driver's Python and JVM have freed outside the Java heap.
+
+    glibc keeps freed memory in arenas of each thread; planning and compiling many queries on many threads lets them
+    grow by hundreds of megabytes. Where the C library or the JVM can't do it, nothing happens.
+    """
+    if not sys.platform.startswith("linux"):
+        return
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(ctypes.c_size_t(0))
+    try:
+        _jvm_command(spark, "systemTrimNativeHeap")
+    except Py4JError:  # a JVM without that command
+        pass
+
+
+def _jvm_command(spark: SparkSession, name: str) -> str:
+    """A diagnostic command of the driver's JVM; py4j finds the server's methods only by its interface."""
+    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+
+    def array(kind: str, *values: object) -> object:
+        out = new_array(getattr(jvm.java.lang, kind), len(values))
+        for i, x in enumerate(values):
+            out[i] = x
+        return out
+
+    of = jvm.java.lang.Class.forName
+    kinds = [of(x) for x in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+    invoke = of("javax.management.MBeanServerConnection").getMethod("invoke", array("Class", *kinds))
+    where = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    return invoke.invoke(server, array("Object", where, name, array("Object"), array("String")))
+
+
 _written: dict[int, tuple] = {}
 
 

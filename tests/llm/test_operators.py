@@ -5,6 +5,7 @@ import random
 import re
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from basalt.llm import chat, decontaminate, language_id, neardup, packing, pii, quality, sharding, tokenfiles, urlfilter
+from basalt.llm import chat, decontaminate, language_id, neardup, packing, pii, quality, sharding, storage, tokenfiles, urlfilter
 from basalt.llm.tokenization import default_path
 
 
@@ -628,6 +629,27 @@ def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     assert neardup.near_duplicates(no_docs).count() == 0
 
 
+def test_written_tables_give_freed_memory_back(spark):
+    """Native memory that the driver's JVM has freed between pieces still in use goes back with the next table."""
+    jvm = spark._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+    resident = lambda: int(re.search(r"Rss:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text())[1]) // 1024
+    held = jvm.java.lang.Class.forName("sun.misc.Unsafe").getDeclaredField("theUnsafe")
+    held.setAccessible(True)
+    unsafe = held.get(None)
+    before, size = resident(), 100_000  # small enough for an arena
+    pieces = [unsafe.allocateMemory(size) for _ in range(2_000)]
+    for x in pieces:
+        unsafe.setMemory(x, size, 1)
+    for x in pieces[:-1]:
+        unsafe.freeMemory(x)
+    freed = resident()
+    storage.materialize(spark.range(1), "one")
+    now = resident()
+    unsafe.freeMemory(pieces[-1])
+    assert freed - before > 150 and freed - now > 100, (before, freed, now)
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)
