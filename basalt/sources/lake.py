@@ -272,14 +272,15 @@ class LakeTable:
         """Merge-on-read: the rows' positions go to a delete file; the number of rows deleted."""
         base = self.current()
         gone = self.read(with_position=True).filter(condition).select("_file", "_pos")
-        return self.change(base, gone, None, "delete")
+        return self.change(base, gone, None, "delete", once=True)
 
-    def change(self, base: Snapshot, gone: DataFrame | None, new: DataFrame | None, operation: str, **summary) -> int:
-        """One commit that deletes positions and appends rows; the number of rows deleted."""
+    def change(self, base: Snapshot, gone: DataFrame | None, new: DataFrame | None, operation: str, once: bool = False, **summary) -> int:
+        """One commit that deletes positions (each is there ``once``, or they are made distinct) and appends rows; the number of rows deleted."""
         manifests, deletes, n = list(base.manifests), list(base.deletes), 0
         if gone is not None:
             path = f"{self.path}/deletes/{uuid.uuid4().hex}"
-            gone.select("_file", "_pos").distinct().write.parquet(path)
+            gone = gone.select("_file", "_pos")
+            (gone if once else gone.distinct()).write.parquet(path)
             n = self.spark.read.schema("_file string, _pos long").parquet(path).count()
             deletes += [{"path": path, "rows": n}] if n else []
         if new is not None:
@@ -389,9 +390,14 @@ class LakeTable:
             return rows
         rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_pos"))
         if s.deletes:
+            # a row is one long, its file's number before its position: paths would take most of the join's memory
+            numbers = F.broadcast(self.spark.createDataFrame([(f, k << 40) for k, f in enumerate(files)], "_file string, _first long"))
+            unknown = F.raise_error(F.lit(f"a file of {self.path} is not in its manifests")).cast("long")
             gone = self.spark.read.schema("_file string, _pos long").parquet(*[d["path"] for d in s.deletes])
+            gone = gone.join(numbers, "_file").select((F.col("_first") + F.col("_pos")).alias("_row"))
             small = sum(d["rows"] for d in s.deletes) <= BROADCAST_DELETES
-            rows = rows.join(F.broadcast(gone) if small else gone, ["_file", "_pos"], "left_anti")
+            rows = rows.join(numbers, "_file", "left").withColumn("_row", F.coalesce("_first", unknown) + F.col("_pos"))
+            rows = rows.join(F.broadcast(gone) if small else gone, "_row", "left_anti")
         return rows.select(*schema.names, "_file", "_pos") if with_position else rows.select(*schema.names)
 
 
