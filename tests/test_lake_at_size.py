@@ -5,6 +5,14 @@ from pyspark.sql import functions as F
 from basalt.sources.lake import LakeTable
 
 
+def _plans(spark, after):
+    found = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return [found.apply(k).physicalPlanDescription() for k in range(found.size()) if found.apply(k).executionId() > after]
+
+
+def _last(spark):
+    found = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return max((found.apply(k).executionId() for k in range(found.size())), default=-1)
 
 
 def test_deletes_are_joined_by_numbers(spark, tmp_path):
@@ -30,3 +38,12 @@ def test_large_deletes_are_not_broadcast(spark, tmp_path, monkeypatch):
     lake.delete_where("k % 3 = 0")
     monkeypatch.setattr(module, "BROADCAST_DELETES", 10)
     assert sorted(r["k"] for r in lake.read().collect()) == [k for k in range(200) if k % 3]
+
+
+def test_column_ranges_are_found_without_a_sort(spark, tmp_path):
+    lake = LakeTable.create(spark, f"{tmp_path}/a", "k long, s string", ["k"])
+    before = _last(spark)
+    lake.append(spark.range(6).select((F.col("id") % 2).alias("k"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("s")))
+    plans = _plans(spark, before)
+    assert any("min(" in p for p in plans) and not any("SortAggregate" in p for p in plans)
+    assert sorted((f["partition"]["k"], f["min"]["s"], f["max"]["s"], f["rows"]) for f in lake.files_of(lake.current())) == [("0", "v0", "v4", 3), ("1", "v1", "v5", 3)]
