@@ -104,7 +104,7 @@ def needs_compaction(files: int, delete_files: int = 0) -> bool:
 
 
 def maintain(table) -> DataFrame | None:
-    """Compact a lake table that has many files or many deleted rows."""
+    """Compact a lake table that has many deleted rows, or many files that came since it was compacted."""
     s = table.current()
     live, dead = s.n_rows, s.n_deleted
-    return table.compact() if needs_compaction(s.n_files, len(s.deletes)) or needs_vacuum(live - dead, dead) else None
+    return table.compact() if needs_compaction(s.n_loose, len(s.deletes)) or needs_vacuum(live - dead, dead) else None

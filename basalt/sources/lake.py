@@ -23,6 +23,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Delete files up to this many rows are broadcast to the scan.
 BROADCAST_DELETES = 2_000_000
+#: Bytes of a file that a compaction aims at.
+COMPACT_BYTES = 64 << 20
 
 _TRANSFORM = re.compile(r"(?:(identity|year|month|day)\((\w+)\)|(bucket|truncate)\((\d+)\s*,\s*(\w+)\)|(\w+))$", re.I)
 
@@ -79,6 +81,11 @@ class Snapshot:
     def n_files(self) -> int:
         return sum(m["files"] for m in self.manifests)
 
+    @property
+    def n_loose(self) -> int:
+        """Files that were not written by the last compaction."""
+        return sum(m["files"] for m in self.manifests if m["path"] not in self.summary.get("compacted", []))
+
     @property
     def n_rows(self) -> int:
         """Rows of the data files, deleted ones included."""
@@ -296,7 +303,12 @@ class LakeTable:
         name = self.path.rsplit("/", 1)[-1]
         after = base
         if base.deletes or base.n_files > 1:
-            after = self.commit("replace", base, self._manifest(self._write_files(self.read(base.id), base)), [])
+            live = self.read(base.id)
+            if not base.partition_by:  # else rows of a partition meet as they are written
+                size = sum(f["size"] for f in self.files_of(base)) * (1 - base.n_deleted / max(base.n_rows, 1))
+                live = live.repartition(max(1, -int(-size // COMPACT_BYTES)))
+            made = self._manifest(self._write_files(live, base))
+            after = self.commit("replace", base, made, [], compacted=[m["path"] for m in made])
         row = (name, after is not base, base.n_files, after.n_files, after.n_rows, len(base.deletes))
         names = "table_name string, compacted boolean, files_before long, files_after long, total_records long, delete_files_removed long"
         return self.spark.createDataFrame([row], names)

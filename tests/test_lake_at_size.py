@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from basalt.plans import statistics
 from basalt.sources.lake import LakeTable
 
 
@@ -47,3 +48,25 @@ def test_column_ranges_are_found_without_a_sort(spark, tmp_path):
     plans = _plans(spark, before)
     assert any("min(" in p for p in plans) and not any("SortAggregate" in p for p in plans)
     assert sorted((f["partition"]["k"], f["min"]["s"], f["max"]["s"], f["rows"]) for f in lake.files_of(lake.current())) == [("0", "v0", "v4", 3), ("1", "v1", "v5", 3)]
+
+
+def test_a_compacted_table_is_left_alone(spark, tmp_path):
+    """Also one of many partitions, whose files are many after compaction as well."""
+    lake = LakeTable.create(spark, f"{tmp_path}/a", "k long, p long", ["p"])
+    rows = spark.range(60).select(F.col("id").alias("k"), (F.col("id") % 12).alias("p"))
+    lake.append(rows)
+    assert statistics.maintain(lake) is not None
+    assert statistics.maintain(lake) is None
+    lake.append(rows.filter("p = 1"))
+    assert statistics.maintain(lake) is None
+    lake.append(rows)
+    assert statistics.maintain(lake) is not None
+    assert lake.read().count() == 125
+
+
+def test_compaction_makes_few_files(spark, tmp_path):
+    lake = LakeTable.create(spark, f"{tmp_path}/a", "k long")
+    lake.append(spark.range(400, numPartitions=20).select(F.col("id").alias("k")))
+    assert lake.current().n_files == 20
+    assert statistics.maintain(lake).first()["files_after"] == 1
+    assert sorted(r["k"] for r in lake.read().collect()) == list(range(400))
