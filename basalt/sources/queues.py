@@ -119,7 +119,7 @@ class QueueTable:
         gone = rows.filter(F.col("_offset") < keep_from).select("_file", "_pos")
         if gone.isEmpty():
             return 0
-        return self.lake.change(base, gone, None, "retention")  # one commit; the next offset goes on with it
+        return self.lake.change(base, gone, None, "retention", once=True)  # one commit; the next offset goes on with it
 
     def committed(self, consumer: str) -> int | None:
         return self.commits.read(where={"consumer": ("=", consumer)}).agg(F.max_by("offset", "at")).first()[0]
